@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, licenses, topk
+from tessera.llm import chat, decontaminate, licenses, lines, topk
 from tessera.llm._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,62 @@ select doc_id, n_sentences, len(list_filter(ids, lambda x: x > 0)) as n_known, l
 
 
 ORACLE_SQL["op8_license_scan"] = _license_sql()
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that other documents keep."""
+    out = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+#: Lower-cases A-Z only.
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL["op3_line_dedup"] = rf"""
+with l as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as pos from documents),
+k as (select *, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} as key from l),
+s as (select key, max(doc_id) as keeper from k where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+j as (select k.*, s.keeper is not null and s.keeper != doc_id as gone from k left join s using (key))
+select doc_id, count(*) as n_lines, cast(sum(case when gone then 1 else 0 end) as bigint) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from j group by doc_id
+"""
+
+
+@query
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside windows of benchmark items."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL["op5_benchmark_decontamination"] = rf"""
+with d as (select doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} as w from documents),
+b as (select item_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} as w from benchmark),
+bw as (
+  select item_id, n, array_to_string(w[i + 1 : i + n], ' ') as g
+  from (select *, least(len(w), 10) as n, unnest(range(len(w) - least(len(w), 10) + 1)) as i from b where len(w) > 0)),
+sizes as (select distinct n from bw),
+dw as (
+  select doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') as g
+  from (select doc_id, w, n, unnest(range(len(w) - n + 1)) as i from d, sizes where len(w) >= n)),
+m as (select dw.doc_id, dw.i, dw.n, bw.item_id from dw join bw using (n, g)),
+h as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from m) group by doc_id),
+x as (
+  select doc_id, count(*) as n_items, sha256(string_agg(s, ',' order by s)) as items_sha256
+  from (select distinct doc_id, cast(item_id as varchar) as s from m) group by doc_id)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (doc_id) left join x using (doc_id)
+"""
