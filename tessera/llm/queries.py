@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, licenses, lines, topk
+from tessera.llm import chat, decontaminate, licenses, lines, minhash, topk
 from tessera.llm._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,25 @@ select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items,
   coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join h using (doc_id) left join x using (doc_id)
 """
+
+
+@query
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of each document under links of similarity 0.75 or more."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op2_minhash_near_dedup"] = rf"""
+with recursive d as (
+  select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, array_to_string(w[i + 1 : i + 5], ' ') as g
+  from (select *, unnest(range(greatest(len(w) - 4, 1))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.g = b.g and a.doc_id != b.doc_id group by 1, 2),
+links as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 75 * (x.n + y.n - shared)),
+reach(id, node) as (select a, b from links union select r.id, l.b from reach r join links l on r.node = l.a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(least(d.doc_id, m.least_id), d.doc_id) as component_id,
+  d.doc_id = coalesce(least(d.doc_id, m.least_id), d.doc_id) as kept
+from d left join n using (doc_id) left join (select id as doc_id, min(node) as least_id from reach group by id) m using (doc_id)
+"""
