@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, licenses, lines, minhash, topk
+from tessera.llm import chat, decontaminate, licenses, lines, minhash, substrings, topk
 from tessera.llm._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,3 +194,26 @@ select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(least(d.doc_id, m.leas
   d.doc_id = coalesce(least(d.doc_id, m.least_id), d.doc_id) as kept
 from d left join n using (doc_id) left join (select id as doc_id, min(node) as least_id from reach group by id) m using (doc_id)
 """
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of passages of 50 words that smaller documents hold."""
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return found.withColumnRenamed("kept", "kept_sha256")
+
+
+ORACLE_SQL["op10_substring_dedup"] = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+g as (
+  select doc_id, i, md5(array_to_string(w[i + 1 : i + 50], ' ')) as h
+  from (select *, unnest(range(len(w) - 49)) as i from d where len(w) >= 50)),
+f as (select h, min(doc_id) as least_id from g group by h),
+x as (select distinct doc_id, unnest(range(i, i + 50)) as p from g join f using (h) where doc_id > least_id),
+t as (select doc_id, unnest(w) as word, unnest(range(len(w))) as p from d),
+k as (
+  select t.doc_id, sum(case when x.p is null then 0 else 1 end) as n, string_agg(word, ' ' order by t.p) filter (where x.p is null) as s
+  from t left join x on x.doc_id = t.doc_id and x.p = t.p group by t.doc_id)
+select doc_id, len(w) as n_words, cast(coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(s, '')) as kept_sha256
+from d left join k using (doc_id)
+"""
