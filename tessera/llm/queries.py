@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, licenses, lines, minhash, substrings, topk
-from tessera.llm._shared import table
+from tessera.llm import chat, decontaminate, importance, licenses, lines, minhash, substrings, topk
+from tessera.llm._shared import keep, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -217,3 +217,12 @@ k as (
 select doc_id, len(w) as n_words, cast(coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(s, '')) as kept_sha256
 from d left join k using (doc_id)
 """
+
+
+@query
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, classification and Gumbel top-k sample of half of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = importance.fit(docs, table(spark, sf_dir, "labels"))
+    scored, _ = keep(importance.score_documents(docs, model, drop=("text",)), "scores")
+    return importance.resample(scored, model)
