@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, importance, licenses, lines, minhash, substrings, topk
+from tessera.llm import chat, decontaminate, importance, licenses, lines, minhash, pieces, substrings, suffix_tree, topk
 from tessera.llm._shared import keep, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,3 +226,17 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = importance.fit(docs, table(spark, sf_dir, "labels"))
     scored, _ = keep(importance.score_documents(docs, model, drop=("text",)), "scores")
     return importance.resample(scored, model)
+
+
+@query
+def op9_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two segmentations of each document, sampled without replacement and decoded again."""
+    docs = table(spark, sf_dir, "documents")
+    found = pieces.sample_segmentations(docs, k=2, with_pieces=False)
+    return found.withColumnRenamed("key", "doc_id")
+
+
+@query
+def op6_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of each document by token counts and by the suffix tree."""
+    return suffix_tree.score_texts(table(spark, sf_dir, "documents"))
