@@ -258,7 +258,7 @@ _ATOMS = """
 p as (select vec_id as struct_id, label, embedding as e, unnest(range(21)) as i from embeddings),
 r as (select *, cast(i // 3 as integer) as res_id, case when i // 3 = 6 then 'LIG' else list_extract(['LEU', 'ALA', 'VAL', 'GLY', 'LEU', 'SER'], 1 + (i // 3 + label) % 6) end as res_name from p),
 atoms as (
-  select struct_id, i as atom_idx, case when res_id = 6 then 'B' else 'A' end as chain_id, res_id, res_name, res_id = 6 as hetero,
+  select struct_id, cast(i as integer) as atom_idx, case when res_id = 6 then 'B' else 'A' end as chain_id, res_id, res_name, res_id = 6 as hetero,
     case when res_id = 6 then 'C' || (i % 3 + 1) when i % 3 = 0 then 'CA' else case when res_name = 'VAL' then 'CG' else 'CD' end || (i % 3) end as atom_name,
     cast(e[3 * i + 1] as double) as x, cast(e[3 * i + 2] as double) as y, cast(e[3 * i + 3] as double) as z from r)"""
 # Each structure and the next one of its label.
