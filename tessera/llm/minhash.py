@@ -6,15 +6,19 @@ similarity of their sets is at least ``percent`` / 100; links are confirmed on t
 1. One scan gives each document the size and a 128-bit digest of its set, a SuperMinHash signature of
    ``bands * rows`` registers, hashed by bands, and a byte of each register.
 2. Documents with equal sets become one class, represented by the smallest id (pre-aggregated).
-3. Representatives with an equal band are a bucket. Each representative is compared with the smallest
-   other of its buckets only; confirmed links are joined by union-find.
+3. Representatives with an equal band are a bucket, whose hub is the member that meets most others
+   in all its buckets. Each representative is compared with one hub; confirmed links are joined by
+   union-find.
 4. Buckets that still hold several components are compared across components, tile by tile: pairs
-   whose signatures agree enough are confirmed on the full sets too, and joined.
+   whose signatures agree in ``coarse`` of their registers, and whose finer ones of four times as many
+   in ``fine_share``, are confirmed on the full sets too, and joined.
 
 No bucket is capped: what step 3 skips, step 4 compares unless both are of one component already, so
 that a group of copies costs a comparison for each copy instead of one for each pair. Signatures are
 compared in tiles of ``tile`` members, spread over tasks, however large a bucket is. A pair at the
-threshold shares no band with probability (1 - 0.75**5)**50 = 1.3e-6.
+threshold shares no band with probability (1 - 0.75**5)**50 = 1.3e-6; it agrees in less than ``coarse``
+of 250 registers, or less than ``fine_share`` of 1,000, as seldom (both lie 4.7 standard deviations or
+more below 0.75).
 
 Words are runs of bytes other than white space, A-Z lower-cased. A text of 1 to 4 words is one
 shingle; a null text or one without words has none and is linked with nothing. Rows without an id get
@@ -27,7 +31,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -173,30 +176,79 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _across(least: int):
-    """Pairs of a tile that are of two components and agree in at least ``least`` registers."""
+def _finer(rows: int, copies: int):
+    """(id, text) to the low bytes of ``copies`` further signatures of ``rows`` registers each."""
 
-    def compare(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.drop_duplicates("rep")
-        rep, comp = df["rep"].to_numpy(), df["comp"].to_numpy()
-        side, i, j = df["side"].to_numpy(), df["i"].iat[0], df["j"].iat[0]
-        sig = np.frombuffer(b"".join(df["sig"]), np.uint8).reshape(len(df), -1)
-        a, b = [], []
+    def sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _text.batches(it):
+            for c in _text.chunks(batch.column(1)):
+                sets = shingle_sets(c)
+                parts = [super_minhash([_text.mix(x ^ _U(i + 1)) for x in sets], rows) for i in range(copies)]
+                low = np.concatenate([(p & _U(0xFF)).astype(np.uint8) for p in parts], axis=1)
+                yield pa.record_batch([batch.column(0).slice(c.first, len(sets)), pa.array([r.tobytes() for r in low], pa.binary())], ["rep", "fine"])
+
+    return sketch
+
+
+def _across(rows: int, coarse: float, fine: float):
+    """Rows (key, i, j, band, rep, comp, side, sig, fine), sorted by tile, to the pairs of a tile that are
+    of two components and agree well enough. A pair of several buckets comes from its first band's."""
+
+    def compare(band: int, rep: np.ndarray, comp: np.ndarray, side: np.ndarray, split: bool, sig: np.ndarray, more: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         # One of two members of different components is outside the largest one.
         names, sizes = np.unique(comp, return_counts=True)
         largest = names[np.argmax(sizes)]
         for x in np.flatnonzero(comp != largest):
             other = (comp != comp[x]) & ((rep > rep[x]) | (comp == largest))
-            if i != j:
+            if split:
                 other &= side != side[x]
             ys = np.flatnonzero(other)
-            ys = ys[(sig[ys] == sig[x]).sum(axis=1) >= least]
-            a += [rep[x]] * len(ys)
-            b += rep[ys].tolist()
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return compare
+            same = sig[ys] == sig[x]
+            enough = same.mean(axis=1) >= coarse
+            ys, same = ys[enough], same[enough]
+            if not len(ys):
+                continue
+            first = same.reshape(len(ys), -1, rows).all(axis=2).argmax(axis=1) == band
+            ys = ys[first]
+            ys = ys[(more[ys] == more[x]).mean(axis=1) >= fine]
+            if len(ys):
+                yield np.full(len(ys), rep[x]), rep[ys]
+
+    def settle(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, i, j, band, rep, comp, side = (t.column(c).to_numpy() for c in ("key", "i", "j", "band", "rep", "comp", "side"))
+        sig, more = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(len(key), -1) for c in ("sig", "fine"))
+        cut = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        a, b = [], []
+        for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=True):
+            if hi - lo > 1:
+                for x, y in compare(band[lo], rep[lo:hi], comp[lo:hi], side[lo:hi], i[lo] != j[lo], sig[lo:hi], more[lo:hi]):
+                    a.append(np.minimum(x, y))
+                    b.append(np.maximum(x, y))
+        if a:
+            yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    def tile(batch: pa.RecordBatch, at: int) -> tuple:
+        return tuple(batch.column(c)[at].as_py() for c in range(3))
+
+    def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            if waiting and tile(waiting[-1], waiting[-1].num_rows - 1) != tile(batch, 0):
+                yield from settle(pa.Table.from_batches(waiting))
+                waiting = []
+            # The batch's last tile waits for what the next batch has of it.
+            key, i, j = (batch.column(c).to_numpy() for c in range(3))
+            new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            if len(new):
+                yield from settle(pa.Table.from_batches([*waiting, batch.slice(0, new[-1])]))
+                waiting = []
+            waiting.append(batch.slice(new[-1]) if len(new) else batch)
+        if waiting:
+            yield from settle(pa.Table.from_batches(waiting))
+
+    return meet
 
 
 def near_duplicates(
@@ -207,6 +259,8 @@ def near_duplicates(
     bands: int = 50,
     rows: int = 5,
     tile: int = 1024,
+    coarse: float = 0.62,
+    fine_share: float = 0.67,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
     spark = docs.sparkSession
@@ -226,29 +280,35 @@ def near_duplicates(
     )
     reps = some.join(member, "doc_id", "left_anti").select(F.col("doc_id").alias("rep"), "bands", "sig")
 
-    banded = reps.select("rep", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
+    banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    buckets = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     crowded, crowded_path = keep(banded.join(buckets, "key"), "buckets")
 
-    stars = crowded.filter("rep != pivot").groupBy("rep").agg(F.min("pivot").alias("pivot"))
-    first, _ = keep(_confirmed(stars.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), docs, percent), "star-links")
+    # A bucket's hub is the member that meets most others in all its buckets.
+    degree = crowded.groupBy("rep").agg(F.sum("n").alias("degree"))
+    ranked = crowded.join(degree, "rep").select("key", "rep", F.struct("degree", (-F.col("rep")).alias("minus")).alias("rank"))
+    hubs = ranked.groupBy("key").agg(F.max("rank").alias("hub"))
+    stars = ranked.join(hubs, "key").filter("rank < hub").groupBy("rep").agg(F.max("hub").alias("hub"))
+    first, _ = keep(_confirmed(stars.select((-F.col("hub.minus")).alias("a"), F.col("rep").alias("b")), docs, percent), "star-links")
     after = components(first)
 
     named = crowded.join(after, crowded.rep == after.node, "left").select(
-        "key", "rep", "n", F.coalesce("component", "rep").alias("comp")
+        "key", "band", "rep", "n", F.coalesce("component", "rep").alias("comp")
     )
     mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
+    members, _ = keep(named.join(mixed, "key", "left_semi"), "members")
+    ids = members.select("rep").distinct()
+    again = docs.join(ids, docs.doc_id == ids.rep, "left_semi").dropDuplicates(["doc_id"])
+    fine = again.mapInArrow(_finer(bands * rows, 4), "rep long, fine binary")
+    sketches, _ = keep(reps.join(ids, "rep", "left_semi").select("rep", "sig").join(fine, "rep"), "fine-sketches")
     tiles = F.ceil(F.col("n") / tile).cast("int")
     own = F.pmod(F.xxhash64("rep"), tiles).cast("int")
-    dealt = (
-        named.join(mixed, "key", "left_semi")
-        .join(reps.select("rep", "sig"), "rep")
-        .select("key", "rep", "comp", "sig", own.alias("side"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("t"))
-        .select("key", "rep", "comp", "sig", "side", F.least("side", "t").alias("i"), F.greatest("side", "t").alias("j"))
-    )
-    rest, _ = keep(
-        dealt.groupBy("key", "i", "j").applyInPandas(_across(int(0.48 * bands * rows)), "a long, b long").distinct(), "rest-pairs"
-    )
+    dealt = members.withColumn("side", own).withColumn("t", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    dealt = dealt.select("key", F.least("side", "t").alias("i"), F.greatest("side", "t").alias("j"), "band", "rep", "comp", "side")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = dealt.join(sketches, "rep").select("key", "i", "j", "band", "rep", "comp", "side", "sig", "fine")
+    sorted_ = sorted_.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rest, _ = keep(sorted_.mapInArrow(_across(rows, coarse, fine_share), "a long, b long"), "rest-pairs")
     second, _ = keep(_confirmed(rest, docs, percent), "rest-links")
     found = components(first.union(second))
     discard(spark, crowded_path)
