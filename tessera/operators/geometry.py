@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Radius in which atoms are near a ligand.
 RADIUS = 7.5
@@ -107,7 +108,7 @@ def rmsd(pairs: DataFrame, where: Column | None = None, name: str = "rmsd", by:
     return pairs.groupBy(by).agg(F.sqrt(F.avg(d)).alias(name))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _rotations(c: pd.Series) -> pd.Series:
     """Best rotation for each 3x3 covariance (fixed by mobile), both by rows of nine numbers."""
     m = np.array([np.asarray(x, float) for x in c]).reshape(-1, 3, 3)
