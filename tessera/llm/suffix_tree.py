@@ -16,7 +16,7 @@ Token counts are exact. Words that make up ``frequent_share`` of a batch's token
 candidates for a list of frequent words, at most 2 / ``frequent_share`` long; their counts are summed
 for each batch and broadcast. Every other word meets its counterparts in a bucket of its hash: tasks
 send one packed row for each batch and bucket, and a bucket counts, scores and forgets its words, and
-returns one number for each text. A word in a third of all texts is thus never gathered. The number
+returns the sums of its texts, again in packed rows, which are added up by parts of the texts. A word in a third of all texts is thus never gathered. The number
 of buckets grows with the number of tokens.
 
 Null texts are empty; an empty text is an end token. Null ids count as the empty string where ids are
@@ -181,37 +181,50 @@ def _packer(frequent, buckets: int):
     return pack
 
 
-_PARTIAL = "kind int, id long, s double, known long"
-
-
-def _settle(table: pa.Table) -> pa.Table:
-    """A bucket: log10(c + 1) of its rare words summed for each text; counts of frequent words; number
-    of distinct training words."""
-    kind = table.column("kind").to_numpy()
-
-    def joined(name: str, k: int, dtype) -> np.ndarray:
-        parts = table.column(name).filter(pa.array(kind == k)).to_pylist()
-        return np.frombuffer(b"".join(parts), dtype)
-
-    h, row, n = joined("hash", _GRAM, _U), joined("row", _GRAM, np.int64), joined("n", _GRAM, np.int32).astype(np.int64)
-    _, word = np.unique(h, return_inverse=True)
-    c = np.bincount(word, weights=np.maximum(n, 0))
-    tf = np.abs(n)
-    texts, at = np.unique(row, return_inverse=True)
-    s = np.bincount(at, weights=tf * np.log10(c[word] + 1), minlength=len(texts))
-    known = np.bincount(at, weights=tf * (c[word] > 0), minlength=len(texts)).astype(np.int64)
-    fh, fn = joined("hash", _WORD, _U), joined("n", _WORD, np.int64)
-    fh, fn = _merge([(fh, fn)])
-    distinct = int((c > 0).sum())
-    return pa.table(
-        [
-            pa.array(np.concatenate([np.full(len(texts), 0), np.full(len(fh), 1), [2]]).astype(np.int32)),
-            pa.array(np.concatenate([texts, fh.view(np.int64), [0]]).astype(np.int64)),
-            pa.array(np.concatenate([s, np.zeros(len(fh) + 1)])),
-            pa.array(np.concatenate([known, fn, [distinct]]).astype(np.int64)),
-        ],
-        ["kind", "id", "s", "known"],
-    )
+_PARTIAL = "kind int, part int, id binary, s binary, known binary"
+_TEXTS, _LISTED, _DISTINCT = 0, 1, 2
+
+
+def _joined(table: pa.Table, name: str, dtype, kind: int | None = None) -> np.ndarray:  # noqa: ANN001
+    column = table.column(name)
+    if kind is not None:
+        column = column.filter(pa.compute.equal(table.column("kind"), kind))
+    return np.frombuffer(b"".join(column.to_pylist()), dtype)
+
+
+def _settler(parts: int):
+    """A bucket: log10(c + 1) of its rare words summed for each text, packed by part of the texts; counts
+    of frequent words; number of distinct training words."""
+
+    def settle(table: pa.Table) -> pa.Table:
+        h, row = _joined(table, "hash", _U, _GRAM), _joined(table, "row", np.int64, _GRAM)
+        n = _joined(table, "n", np.int32, _GRAM).astype(np.int64)
+        _, word = np.unique(h, return_inverse=True)
+        c = np.bincount(word, weights=np.maximum(n, 0))
+        tf = np.abs(n)
+        texts, at = np.unique(row, return_inverse=True)
+        s = np.bincount(at, weights=tf * np.log10(c[word] + 1), minlength=len(texts))
+        known = np.bincount(at, weights=tf * (c[word] > 0), minlength=len(texts)).astype(np.int64)
+        part = (texts.view(_U) >> _U(20)) % _U(parts)
+        order = np.argsort(part, kind="stable")
+        texts, s, known = texts[order], s[order], known[order]
+        cut = np.searchsorted(part[order], np.arange(parts + 1).astype(_U))
+        out = [(_TEXTS, p, texts[cut[p] : cut[p + 1]].tobytes(), s[cut[p] : cut[p + 1]].tobytes(), known[cut[p] : cut[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(cut)).tolist()]
+        fh, fn = _merge([(_joined(table, "hash", _U, _WORD), _joined(table, "n", np.int64, _WORD))])
+        out.append((_LISTED, 0, fh.tobytes(), b"", fn.astype(np.int64).tobytes()))
+        out.append((_DISTINCT, 0, b"", b"", np.array([(c > 0).sum()], np.int64).tobytes()))
+        cols = list(zip(*out, strict=True))
+        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *[pa.array(x, pa.binary()) for x in cols[2:]]], ["kind", "part", "id", "s", "known"])
+
+    return settle
+
+
+def _sum_part(table: pa.Table) -> pa.Table:
+    """The sums of the texts of a part over all buckets."""
+    texts, at = np.unique(_joined(table, "id", np.int64), return_inverse=True)
+    s = np.bincount(at, weights=_joined(table, "s", np.float64), minlength=len(texts))
+    known = np.bincount(at, weights=_joined(table, "known", np.int64), minlength=len(texts))
+    return pa.table([pa.array(texts), pa.array(s), pa.array(known.astype(np.int64))], ["row", "rare_s", "rare_known"])
 
 
 class Automaton:
@@ -409,20 +422,21 @@ def score_texts(
 
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_TOKENS))
     packed = slim.mapInArrow(_packer(sc.broadcast(listed), buckets), "bucket int, kind int, hash binary, row binary, n binary")
-    partial, _ = keep(packed.groupBy("bucket").applyInArrow(_settle, _PARTIAL), "word-scores")
+    partial, _ = keep(packed.groupBy("bucket").applyInArrow(_settler(buckets), _PARTIAL), "word-scores")
 
     counts = np.zeros(len(listed), np.int64)
-    exact = partial.filter("kind = 1").select("id", "known").toPandas()
-    at, there = _lookup(listed, exact["id"].to_numpy(np.int64).view(_U))
-    counts[at[there]] = exact["known"].to_numpy(np.int64)[there]
-    distinct = (partial.filter("kind = 2").agg(F.sum("known")).first()[0] or 0) + int((counts > 0).sum()) + (ends > 0)
+    few = partial.filter(F.col("kind") != _TEXTS).toArrow()
+    at, there = _lookup(listed, _joined(few, "id", _U, _LISTED))
+    counts[at[there]] = _joined(few, "known", np.int64, _LISTED)[there]
+    distinct = int(_joined(few, "known", np.int64, _DISTINCT).sum()) + int((counts > 0).sum()) + (ends > 0)
     scale = float(np.log10(tokens + distinct + 1))
 
     own = rows.mapInArrow(
         _scorer(sc.broadcast(tree), sc.broadcast((listed, counts, ends))),
         "row long, held_out boolean, doc_id long, n_tokens long, s double, known long, score double",
     )
-    summed = partial.filter("kind = 0").groupBy(F.col("id").alias("row")).agg(F.sum("s").alias("rare_s"), F.sum("known").alias("rare_known"))
+    texts = partial.filter(F.col("kind") == _TEXTS).select("part", "id", "s", "known")
+    summed = texts.groupBy("part").applyInArrow(_sum_part, "row long, rare_s double, rare_known long")
     # Rows that are alike in id and text have one key; each of them has added to its sum.
     alike = rows.groupBy("row").count().filter("count > 1").withColumnRenamed("row", "_row")
     parts = summed.join(alike, F.col("row") == F.col("_row"), "left").select(
