@@ -182,11 +182,22 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PackSource)
 
 
-def offsets(df: DataFrame, order: str, length: str, id_len: int = 32) -> DataFrame:
-    """``df`` with ``off`` and ``data_off`` that records of ``length`` bytes, in one pack by ``order``,
-    have. One pack is one sequence, so this runs in one task; writers know their own offsets."""
+def offsets(df: DataFrame, order: str, length: str, id_len: int = 32, parts: int | None = None) -> DataFrame:
+    """``df`` with ``off`` and ``data_off`` that records of ``length`` bytes, in one pack by the number
+    ``order`` (unique, not null), have.
+
+    A running sum over ranges of ``order``: each range is summed, the sums of the ranges before (one row
+    for each) are added to the running sum within a range.
+    """
     from pyspark.sql import Window
 
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    off = F.coalesce(F.sum(F.col(length) + OVERHEAD + id_len).over(before), F.lit(0)).cast("long")
-    return df.withColumn("off", off).withColumn("data_off", F.col("off") + _HEAD.size + id_len)
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
+    place = sum(((F.col(order) >= F.lit(c)).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    sized = df.withColumn("__part", place).withColumn("__size", (F.col(length) + OVERHEAD + id_len).cast("long"))
+    sums = sized.groupBy("__part").agg(F.sum("__size").alias("__sum"))
+    earlier = sums.select("__part", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    within = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    off = F.col("__base") + F.coalesce(F.sum("__size").over(within), F.lit(0))
+    out = sized.join(F.broadcast(earlier), "__part").withColumn("off", off).withColumn("data_off", F.col("off") + _HEAD.size + id_len)
+    return out.drop("__part", "__size", "__base")
