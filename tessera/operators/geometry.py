@@ -65,6 +65,23 @@ def side_chains(atoms: DataFrame) -> DataFrame:
     return atoms.filter(~(F.col("atom_name").isin(*BACKBONE) & F.col("res_name").isin(*LETTERS)))
 
 
+def canonical_rank(atom_name: Column) -> Column:
+    """Sort key of an amino acid's atoms: backbone, then side chain outwards, terminal oxygen last."""
+    backbone = F.array_position(F.array(*map(F.lit, BACKBONE)), atom_name)
+    remote = F.coalesce(F.nullif(F.position(F.substring(atom_name, 2, 1), F.lit("ABGDEZH")), F.lit(0)), F.lit(8))
+    order = F.when(backbone > 0, F.lpad(backbone.cast("string"), 2, "0")).when(atom_name == "OXT", F.lit("99"))
+    return order.otherwise(F.concat(F.lpad((remote + 10).cast("string"), 2, "0"), F.substring(atom_name, 3, 2), atom_name))
+
+
+def canonical_order(atoms: DataFrame, struct: str = "struct_id") -> DataFrame:
+    """``atoms`` with the non-hetero atoms of each residue renumbered in canonical order; residues and
+    hetero atoms keep their places."""
+    residue = Window.partitionBy(struct, "chain_id", "res_id", "hetero")
+    start = F.min("atom_idx").over(residue)
+    place = start + F.row_number().over(residue.orderBy(canonical_rank(F.col("atom_name")), "atom_idx")) - 1
+    return atoms.withColumn("atom_idx", F.when(F.col("hetero"), F.col("atom_idx")).otherwise(place).cast("int"))
+
+
 def translate_mask(selected: DataFrame, other: DataFrame, keys: Sequence[str] = ("struct_id",)) -> DataFrame:
     """Atoms of ``other`` at the (chain, residue, atom name) of selected ones; where the residue's name
     differs, of its backbone only."""

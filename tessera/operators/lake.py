@@ -251,6 +251,21 @@ class StructureLake:
             return texts[0] if len(texts) == 1 else texts
         return self.spark.createDataFrame(made, "file_name string, cif string, error string").select("file_name", "error")
 
+    def dump_cif(self, keys: Mapping[str, Any] | None = None, path: str = "dump.cif", seed: int | None = None) -> str:
+        """Write one structure as mmCIF: the first row with these values, or with ``seed`` a random one.
+        ValueError if there is none. Returns its text."""
+        rows = self.df() if not keys else self.df().filter(checks.equals(keys))
+        order = F.rand(seed) if seed is not None else F.col("id_hex")
+        found = rows.orderBy(order).limit(1).select(*ADDRESS).collect()
+        if not found:
+            raise ValueError("no such row")
+        reader = pack.PackReader(self.shards)
+        cif = text.write_mmcif(bcif.read_atoms(reader.read(*found[0])))
+        reader.close()
+        with open(path, "w") as f:
+            f.write(cif)
+        return cif
+
     def to_fasta(self, path: str, name_cols: str | Sequence[str] = "name", sep: str = "_") -> DataFrame | None:
         """FASTA records of all rows with a sequence, as text files below ``path``."""
         df = self.df()

@@ -33,6 +33,11 @@ def join_designs(predictions: DataFrame, designs: DataFrame, on: str = "name", r
     return predictions.join(designs.select(on, "design_id"), on)
 
 
+def single_design(predictions: DataFrame, design_id: str, on: str = "name") -> DataFrame:
+    """A table of designs in which one structure is the design of every prediction."""
+    return predictions.select(on).distinct().withColumn("design_id", F.lit(design_id))
+
+
 def aligned(design: DataFrame, prediction: DataFrame, ignore_missing_oxygen: bool = True) -> DataFrame:
     """Corresponding atoms of each pair: same chain, residue number and atom name, in design order;
     terminal oxygens that the design lacks drop out, with their confidences."""
