@@ -203,7 +203,9 @@ def draw(texts, k, keys=None):
     return out
 
 
-def test_sampling_without_replacement_follows_the_distribution():
+@pytest.mark.parametrize("deep", [40.0, 0.3])
+def test_sampling_without_replacement_follows_the_distribution(monkeypatch, deep):
+    monkeypatch.setattr(pieces._Search, "DEEP", deep)
     text, n = "an in", 6000
     exact = segmentations(text)
     got = draw([text] * n, 3)
