@@ -10,15 +10,14 @@ similarity of their sets is at least ``percent`` / 100; links are confirmed on t
    in all its buckets. Each representative is compared with one hub; confirmed links are joined by
    union-find.
 4. Buckets that still hold several components are compared across components, tile by tile: pairs
-   whose signatures agree in ``coarse`` of their registers, and whose finer ones of four times as many
-   in ``fine_share``, are confirmed on the full sets too, and joined.
+   whose signatures agree in a share of ``coarse`` of their registers, and whose finer ones of 512
+   registers in ``fine_share``, are confirmed on the full sets too, and joined.
 
 No bucket is capped: what step 3 skips, step 4 compares unless both are of one component already, so
 that a group of copies costs a comparison for each copy instead of one for each pair. Signatures are
 compared in tiles of ``tile`` members, spread over tasks, however large a bucket is. A pair at the
-threshold shares no band with probability (1 - 0.75**5)**50 = 1.3e-6; it agrees in less than ``coarse``
-of 250 registers, or less than ``fine_share`` of 1,000, as seldom (both lie 4.7 standard deviations or
-more below 0.75).
+threshold shares no band with probability (1 - 0.75**4)**36 = 1.1e-6; it falls below ``coarse`` or
+``fine_share`` as seldom (both lie 4.7 standard deviations below what is expected of it).
 
 Words are runs of bytes other than white space, A-Z lower-cased. A text of 1 to 4 words is one
 shingle; a null text or one without words has none and is linked with nothing. Rows without an id get
@@ -134,9 +133,12 @@ def _sketcher(bands: int, rows: int):
                 sig = super_minhash(sets, m)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 digest = np.array([[s.sum(), _text.mix(s ^ _U(0xA5A5A5A5A5A5A5A5)).sum()] for s in sets], _U)
-                key = np.tile(np.arange(bands, dtype=_U), (len(sets), 1))
+                band = np.tile(np.arange(bands, dtype=_U), (len(sets), 1))
+                key = band
                 for r in range(rows):
                     key = _text.mix(key * _U(0x9E3779B97F4A7C15) ^ sig[:, r::rows])
+                # The number of the band is the key's last six bits.
+                key = (key & ~_U(63)) | band
                 low = np.ascontiguousarray((sig & _U(0xFF)).astype(np.uint8))
                 yield pa.record_batch(
                     [
@@ -176,23 +178,35 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _finer(rows: int, copies: int):
-    """(id, text) to the low bytes of ``copies`` further signatures of ``rows`` registers each."""
+#: Registers of a finer signature, of which four bits each are kept.
+FINE = 512
 
-    def sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _text.batches(it):
-            for c in _text.chunks(batch.column(1)):
-                sets = shingle_sets(c)
-                parts = [super_minhash([_text.mix(x ^ _U(i + 1)) for x in sets], rows) for i in range(copies)]
-                low = np.concatenate([(p & _U(0xFF)).astype(np.uint8) for p in parts], axis=1)
-                yield pa.record_batch([batch.column(0).slice(c.first, len(sets)), pa.array([r.tobytes() for r in low], pa.binary())], ["rep", "fine"])
 
-    return sketch
+def _finer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to four bits of each of ``FINE`` further registers."""
+    for batch in _text.batches(it):
+        for c in _text.chunks(batch.column(1)):
+            sets = shingle_sets(c)
+            parts = [super_minhash([_text.mix(x ^ _U(i + 1)) for x in sets], 256) & _U(15) for i in range(FINE // 256)]
+            packed = np.concatenate([(p[:, ::2] << _U(4) | p[:, 1::2]).astype(np.uint8) for p in parts], axis=1)
+            yield pa.record_batch([batch.column(0).slice(c.first, len(sets)), pa.array([r.tobytes() for r in packed], pa.binary())], ["rep", "fine"])
+
+
+def _agreeing(least: float):
+    """The pairs (a, b, sig_a, sig_b) whose signatures agree in a share of ``least`` or more."""
+
+    def agree(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
+
+    return agree
 
 
 def _across(rows: int, coarse: float, fine: float):
-    """Rows (key, i, j, band, rep, comp, side, sig, fine), sorted by tile, to the pairs of a tile that are
-    of two components and agree well enough. A pair of several buckets comes from its first band's."""
+    """Rows (key, i, j, rep, comp, side, sig, fine), sorted by tile, to the pairs of a tile that are of two
+    components and agree well enough. A pair of several buckets comes from its first band's."""
 
     def compare(band: int, rep: np.ndarray, comp: np.ndarray, side: np.ndarray, split: bool, sig: np.ndarray, more: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         # One of two members of different components is outside the largest one.
@@ -210,18 +224,19 @@ def _across(rows: int, coarse: float, fine: float):
                 continue
             first = same.reshape(len(ys), -1, rows).all(axis=2).argmax(axis=1) == band
             ys = ys[first]
-            ys = ys[(more[ys] == more[x]).mean(axis=1) >= fine]
+            apart = more[ys] ^ more[x]
+            ys = ys[((apart & 15 == 0).sum(axis=1) + (apart >> 4 == 0).sum(axis=1)) >= fine * FINE]
             if len(ys):
                 yield np.full(len(ys), rep[x]), rep[ys]
 
     def settle(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, i, j, band, rep, comp, side = (t.column(c).to_numpy() for c in ("key", "i", "j", "band", "rep", "comp", "side"))
+        key, i, j, rep, comp, side = (t.column(c).to_numpy() for c in ("key", "i", "j", "rep", "comp", "side"))
         sig, more = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(len(key), -1) for c in ("sig", "fine"))
         cut = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
         a, b = [], []
         for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=True):
             if hi - lo > 1:
-                for x, y in compare(band[lo], rep[lo:hi], comp[lo:hi], side[lo:hi], i[lo] != j[lo], sig[lo:hi], more[lo:hi]):
+                for x, y in compare(int(key[lo]) & 63, rep[lo:hi], comp[lo:hi], side[lo:hi], i[lo] != j[lo], sig[lo:hi], more[lo:hi]):
                     a.append(np.minimum(x, y))
                     b.append(np.maximum(x, y))
         if a:
@@ -256,11 +271,11 @@ def near_duplicates(
     doc_id: str = "doc_id",
     text: str = "text",
     percent: int = 75,
-    bands: int = 50,
-    rows: int = 5,
+    bands: int = 36,
+    rows: int = 4,
     tile: int = 1024,
-    coarse: float = 0.62,
-    fine_share: float = 0.67,
+    coarse: float = 0.58,
+    fine_share: float = 0.677,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
     spark = docs.sparkSession
@@ -280,7 +295,7 @@ def near_duplicates(
     )
     reps = some.join(member, "doc_id", "left_anti").select(F.col("doc_id").alias("rep"), "bands", "sig")
 
-    banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    banded = reps.select("rep", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     crowded, crowded_path = keep(banded.join(buckets, "key"), "buckets")
 
@@ -289,24 +304,33 @@ def near_duplicates(
     ranked = crowded.join(degree, "rep").select("key", "rep", F.struct("degree", (-F.col("rep")).alias("minus")).alias("rank"))
     hubs = ranked.groupBy("key").agg(F.max("rank").alias("hub"))
     stars = ranked.join(hubs, "key").filter("rank < hub").groupBy("rep").agg(F.max("hub").alias("hub"))
-    first, _ = keep(_confirmed(stars.select((-F.col("hub.minus")).alias("a"), F.col("rep").alias("b")), docs, percent), "star-links")
+    signed = reps.select("rep", "sig")
+    likely = (
+        stars.select((-F.col("hub.minus")).alias("a"), F.col("rep").alias("b"))
+        .join(signed.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
+        .join(signed.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
+        .select("a", "b", "sig_a", "sig_b")
+        .mapInArrow(_agreeing(coarse), "a long, b long")
+    )
+    likely, _ = keep(likely, "star-pairs")
+    first, _ = keep(_confirmed(likely, docs, percent), "star-links")
     after = components(first)
 
     named = crowded.join(after, crowded.rep == after.node, "left").select(
-        "key", "band", "rep", "n", F.coalesce("component", "rep").alias("comp")
+        "key", "rep", "n", F.coalesce("component", "rep").alias("comp")
     )
     mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
     members, _ = keep(named.join(mixed, "key", "left_semi"), "members")
     ids = members.select("rep").distinct()
     again = docs.join(ids, docs.doc_id == ids.rep, "left_semi").dropDuplicates(["doc_id"])
-    fine = again.mapInArrow(_finer(bands * rows, 4), "rep long, fine binary")
+    fine = again.mapInArrow(_finer, "rep long, fine binary")
     sketches, _ = keep(reps.join(ids, "rep", "left_semi").select("rep", "sig").join(fine, "rep"), "fine-sketches")
     tiles = F.ceil(F.col("n") / tile).cast("int")
     own = F.pmod(F.xxhash64("rep"), tiles).cast("int")
     dealt = members.withColumn("side", own).withColumn("t", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    dealt = dealt.select("key", F.least("side", "t").alias("i"), F.greatest("side", "t").alias("j"), "band", "rep", "comp", "side")
+    dealt = dealt.select("key", F.least("side", "t").alias("i"), F.greatest("side", "t").alias("j"), "rep", "comp", "side")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = dealt.join(sketches, "rep").select("key", "i", "j", "band", "rep", "comp", "side", "sig", "fine")
+    sorted_ = dealt.join(sketches, "rep").select("key", "i", "j", "rep", "comp", "side", "sig", "fine")
     sorted_ = sorted_.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     rest, _ = keep(sorted_.mapInArrow(_across(rows, coarse, fine_share), "a long, b long"), "rest-pairs")
     second, _ = keep(_confirmed(rest, docs, percent), "rest-links")
