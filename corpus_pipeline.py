@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, importance, lines, minhash, pieces
-from tessera.llm._shared import keep, table
+from tessera.llm._shared import keep, small, table
 
 #: SQL cannot express the classifier or the sampling of segmentations.
 ORACLE_SQL = None
@@ -30,13 +30,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near-duplicates."""
-    others = minhash.near_duplicates(docs).filter("not kept").select("doc_id")
+    others = small(minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "near-duplicates")
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without windows of benchmark items."""
     hit = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark")).hits.select("doc_id")
+    hit = small(hit, "contaminated")
     return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
 
 

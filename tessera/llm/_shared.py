@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -36,6 +37,17 @@ def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Rows of ids up to which ``small`` broadcasts.
+BROADCAST_ROWS = 2_000_000
+
+
+def small(ids: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A table of ids, written and counted: to be broadcast while it has ``rows`` rows at most, so that a
+    join with it needn't move texts; beyond that joins with it are shuffled."""
+    table_, _ = keep(ids, name)
+    return F.broadcast(table_) if table_.count() <= rows else table_
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete tables that later steps no longer read."""
     for path in paths:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _text
-from tessera.llm._shared import discard, keep
+from tessera.llm._shared import discard, keep, small
 from tessera.llm.components import components
 
 SHINGLE = 5
@@ -171,7 +171,7 @@ def _confirm(percent: int):
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ids = small(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "pair-ids")
     texts, _ = keep(docs.join(ids, docs.doc_id == ids.id, "left_semi").dropDuplicates(["doc_id"]), "pair-texts")
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
@@ -321,7 +321,7 @@ def near_duplicates(
     )
     mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
     members, _ = keep(named.join(mixed, "key", "left_semi"), "members")
-    ids = members.select("rep").distinct()
+    ids = small(members.select("rep").distinct(), "member-ids")
     again = docs.join(ids, docs.doc_id == ids.rep, "left_semi").dropDuplicates(["doc_id"])
     fine = again.mapInArrow(_finer, "rep long, fine binary")
     sketches, _ = keep(reps.join(ids, "rep", "left_semi").select("rep", "sig").join(fine, "rep"), "fine-sketches")
