@@ -1,16 +1,16 @@
 """Language-model scores from a probabilistic suffix tree, and from token counts.
 
 The tree models the bytes of lower-cased texts, each followed by an end symbol. A context of up to
-``DEPTH`` bytes is a candidate if it, followed by some symbol, makes up ``min_share`` of the training
-symbols or more; it is retained if its next-symbol distribution diverges from that of the context one
+``DEPTH`` bytes is a candidate if it is followed by some symbol ``min_count`` times or more, however
+large the corpus; it is retained if its next-symbol distribution diverges from that of the context one
 byte shorter (Kullback-Leibler, in nats) by ``divergence`` or more, and with it all its suffixes. Each
 distribution is smoothed with that of its parent, the root with the uniform one, so that every text has
 a probability. A text is scored by an automaton whose states are the retained contexts and their
 prefixes: the state after each byte knows the longest retained suffix.
 
-Counts cover all training texts. What leaves the cluster is bounded: no length has more than
-1 / ``min_share`` grams of the share that candidates need, so the tree has at most
-(DEPTH + 1) / ``min_share`` entries, whatever the corpus.
+Counts cover all training texts. The tree grows with the corpus: every gram of the count that
+candidates need is sent to the driver and broadcast, 20 bytes each, and a state of the automaton takes
+8 bytes for each symbol in every Python worker that scores.
 
 Token counts are exact. Words that make up ``frequent_share`` of a batch's tokens or more are
 candidates for a list of frequent words, at most 2 / ``frequent_share`` long; their counts are summed
@@ -40,6 +40,8 @@ from tessera.llm._shared import keep
 #: Longest context in bytes; a gram with its next symbol then has 48 bits.
 DEPTH = 5
 END = 255
+#: Occurrences that a context with a next symbol needs: a single one says nothing of a distribution.
+MIN_COUNT = 2
 #: Symbols of a text that are scored together; each run is warmed up with DEPTH bytes before it.
 SEGMENT = 512
 #: Tokens for a bucket of rare words.
@@ -101,6 +103,7 @@ def _first_counts(frequent_share: float):
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: list[tuple[np.ndarray, np.ndarray]] = []
+        _BUILT.clear()
         for batch in _text.batches(it):
             batch = batch.filter(pa.compute.invert(batch.column(1)))
             words, tokens = [], 0
@@ -243,14 +246,15 @@ class Automaton:
             if length > 1:
                 states[length - 1] = np.union1d(states[length - 1], states[length] >> _U(8))
         first = np.concatenate([[0], np.cumsum([len(s) for s in states])])
-        prob = np.empty((first[-1], width))
+        prob = np.empty((first[-1], width), np.float32)
         step = np.zeros((first[-1], width), np.int32)
         rare = 256 - len(symbols)
         for length in range(DEPTH + 1):
             mine = slice(first[length], first[length + 1])
             if length:
                 shorter = first[length - 1] + np.searchsorted(states[length - 1], states[length] & _U((1 << 8 * (length - 1)) - 1))
-                prob[mine], step[mine] = prob[shorter], step[shorter]
+                for table in (prob, step):
+                    np.take(table, shorter, axis=0, out=table[mine], mode="clip")
                 keep_own = np.isin(states[length], retained[length])
             else:
                 prob[0] = 1 / 256
@@ -263,17 +267,18 @@ class Automaton:
                 total = _totals(tree, length, states[length])
                 seen = np.bincount(at, weights=n, minlength=len(states[length]))
                 own = np.flatnonzero(keep_own)
-                rows = first[length] + own
-                share = (tree.strength + total[own] - seen[own]) / (total[own] + tree.strength)
-                prob[rows] *= share[:, None]
+                share = np.ones(len(states[length]), np.float32)
+                share[own] = (tree.strength + total[own] - seen[own]) / (total[own] + tree.strength)
+                prob[mine] *= share[:, None]
                 prob[first[length] + at, symbol] += n / (total[at] + tree.strength)
             if length < DEPTH and len(states[length + 1]):
                 parent = first[length] + np.searchsorted(states[length], states[length + 1] >> _U(8))
                 step[parent, self.column[(states[length + 1] & _U(255)).astype(np.int64)]] = first[length + 1] + np.arange(len(states[length + 1]))
         # All symbols that the root doesn't know share a column, evenly.
         prob[:, -1] /= max(1, rare)
-        self.log_p = np.log10(prob).astype(np.float32).reshape(-1)
-        self.step = (step * np.int32(width)).reshape(-1)
+        self.log_p = np.log10(prob, out=prob).reshape(-1)
+        step *= np.int32(width)
+        self.step = step.reshape(-1)
         self.size = int(first[-1])
 
     def scores(self, chunk: _text.Chunk) -> np.ndarray:
@@ -374,18 +379,20 @@ def _automaton(tree) -> Automaton:
     return _BUILT[id(tree)]
 
 
-def grow_tree(counted: DataFrame, min_share: float, divergence: float, strength: float) -> Tree:
+def grow_tree(counted: DataFrame, min_count: int, divergence: float, strength: float) -> Tree:
     """The tree from counts (kind, key, n) of grams of DEPTH + 1 bytes."""
     grams = counted.filter(F.col("kind") == _GRAM)
     total = grams.agg(F.sum("n")).first()[0] or 0
     masks = F.array(*[F.struct(F.lit(i).alias("len"), F.lit((1 << 8 * (i + 1)) - 1 if i < 7 else -1).cast("long").alias("mask")) for i in range(DEPTH + 1)])
     shorter = grams.select(F.explode(masks).alias("m"), "key", "n").groupBy("m.len", F.col("key").bitwiseAND(F.col("m.mask")).alias("key"))
-    rows = shorter.agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2, int(np.ceil(min_share * total)))).toPandas()
+    rows = shorter.agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count).toArrow()
+    size, key, n = (rows.column(c).to_numpy() for c in ("len", "key", "n"))
     keys, counts = [], []
     for i in range(DEPTH + 1):
-        mine = rows[rows["len"] == i].sort_values("key")
-        keys.append(mine["key"].to_numpy(np.int64).view(_U))
-        counts.append(mine["n"].to_numpy(np.int64))
+        mine = np.flatnonzero(size == i)
+        mine = mine[np.argsort(key[mine])]
+        keys.append(key[mine].view(_U))
+        counts.append(n[mine])
     return Tree(keys, counts, int(total), divergence, strength)
 
 
@@ -395,7 +402,7 @@ def score_texts(
     text: str = "text",
     folds: int = 7,
     held_fold: int = 2,
-    min_share: float = 4e-7,
+    min_count: int = MIN_COUNT,
     divergence: float = 0.02,
     strength: float = 60.0,
     frequent_share: float = 1e-5,
@@ -414,7 +421,7 @@ def score_texts(
     counted, _ = keep(
         slim.mapInArrow(_first_counts(frequent_share), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts"
     )
-    tree = grow_tree(counted, min_share, divergence, strength)
+    tree = grow_tree(counted, min_count, divergence, strength)
     tokens = counted.filter(F.col("kind") == _TOKENS).agg(F.sum("n")).first()[0] or 0
     ends = rows.filter("not held_out").count()
     often = counted.filter((F.col("kind") == _WORD) & (F.col("n") >= max(2.0, frequent_share * tokens / 2))).select("key").toPandas()

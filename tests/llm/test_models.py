@@ -138,6 +138,15 @@ def test_suffix_tree_is_a_distribution_and_uses_longest_suffixes():
         assert a.scores(c)[0] == pytest.approx(want, rel=1e-5)
 
 
+def test_tree_keeps_rare_contexts_of_a_large_corpus(spark):
+    gram = lambda b: int.from_bytes(b, "big")
+    counted = spark.createDataFrame([(0, gram(b"common"), 10**9), (0, gram(b"rarely"), 3), (0, gram(b"single"), 1)], "kind int, key long, n long")
+    tree = suffix_tree.grow_tree(counted, suffix_tree.MIN_COUNT, 0.02, 60.0)
+    for i in range(suffix_tree.DEPTH + 1):
+        assert {gram(b"common"[-i - 1 :]), gram(b"rarely"[-i - 1 :])} == set(tree.keys[i].tolist())
+    assert gram(b"l") in suffix_tree._retained(tree)[1].tolist()
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 6)], 0) for i in range(230)]
