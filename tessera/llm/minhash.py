@@ -204,11 +204,12 @@ def _agreeing(least: float):
     return agree
 
 
-def _across(rows: int, coarse: float, fine: float):
-    """Rows (key, i, j, rep, comp, side, sig, fine), sorted by tile, to the pairs of a tile that are of two
-    components and agree well enough. A pair of several buckets comes from its first band's."""
+def _across(coarse: float, fine: float):
+    """Rows (key, i, j, rep, comp, side, bands, sig, fine), sorted by tile, to the pairs of a tile that are of
+    two components and agree well enough. A pair of several buckets comes from its first band's; the keys
+    of the bands tell which that is, as the kept bytes also agree where registers don't."""
 
-    def compare(band: int, rep: np.ndarray, comp: np.ndarray, side: np.ndarray, split: bool, sig: np.ndarray, more: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def compare(band: int, rep: np.ndarray, comp: np.ndarray, side: np.ndarray, split: bool, bands: np.ndarray, sig: np.ndarray, more: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         # One of two members of different components is outside the largest one.
         names, sizes = np.unique(comp, return_counts=True)
         largest = names[np.argmax(sizes)]
@@ -217,13 +218,10 @@ def _across(rows: int, coarse: float, fine: float):
             if split:
                 other &= side != side[x]
             ys = np.flatnonzero(other)
-            same = sig[ys] == sig[x]
-            enough = same.mean(axis=1) >= coarse
-            ys, same = ys[enough], same[enough]
+            ys = ys[(sig[ys] == sig[x]).mean(axis=1) >= coarse]
             if not len(ys):
                 continue
-            first = same.reshape(len(ys), -1, rows).all(axis=2).argmax(axis=1) == band
-            ys = ys[first]
+            ys = ys[(bands[ys] == bands[x]).argmax(axis=1) == band]
             apart = more[ys] ^ more[x]
             ys = ys[((apart & 15 == 0).sum(axis=1) + (apart >> 4 == 0).sum(axis=1)) >= fine * FINE]
             if len(ys):
@@ -232,11 +230,12 @@ def _across(rows: int, coarse: float, fine: float):
     def settle(t: pa.Table) -> Iterator[pa.RecordBatch]:
         key, i, j, rep, comp, side = (t.column(c).to_numpy() for c in ("key", "i", "j", "rep", "comp", "side"))
         sig, more = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(len(key), -1) for c in ("sig", "fine"))
+        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(key), -1)
         cut = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
         a, b = [], []
         for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=True):
             if hi - lo > 1:
-                for x, y in compare(int(key[lo]) & 63, rep[lo:hi], comp[lo:hi], side[lo:hi], i[lo] != j[lo], sig[lo:hi], more[lo:hi]):
+                for x, y in compare(int(key[lo]) & 63, rep[lo:hi], comp[lo:hi], side[lo:hi], i[lo] != j[lo], bands[lo:hi], sig[lo:hi], more[lo:hi]):
                     a.append(np.minimum(x, y))
                     b.append(np.maximum(x, y))
         if a:
@@ -324,15 +323,15 @@ def near_duplicates(
     ids = small(members.select("rep").distinct(), "member-ids")
     again = docs.join(ids, docs.doc_id == ids.rep, "left_semi").dropDuplicates(["doc_id"])
     fine = again.mapInArrow(_finer, "rep long, fine binary")
-    sketches, _ = keep(reps.join(ids, "rep", "left_semi").select("rep", "sig").join(fine, "rep"), "fine-sketches")
+    sketches, _ = keep(reps.join(ids, "rep", "left_semi").select("rep", "bands", "sig").join(fine, "rep"), "fine-sketches")
     tiles = F.ceil(F.col("n") / tile).cast("int")
     own = F.pmod(F.xxhash64("rep"), tiles).cast("int")
     dealt = members.withColumn("side", own).withColumn("t", F.explode(F.sequence(F.lit(0), tiles - 1)))
     dealt = dealt.select("key", F.least("side", "t").alias("i"), F.greatest("side", "t").alias("j"), "rep", "comp", "side")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = dealt.join(sketches, "rep").select("key", "i", "j", "rep", "comp", "side", "sig", "fine")
+    sorted_ = dealt.join(sketches, "rep").select("key", "i", "j", "rep", "comp", "side", "bands", "sig", "fine")
     sorted_ = sorted_.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    rest, _ = keep(sorted_.mapInArrow(_across(rows, coarse, fine_share), "a long, b long"), "rest-pairs")
+    rest, _ = keep(sorted_.mapInArrow(_across(coarse, fine_share), "a long, b long"), "rest-pairs")
     second, _ = keep(_confirmed(rest, docs, percent), "rest-links")
     found = components(first.union(second))
     discard(spark, crowded_path)

@@ -59,6 +59,18 @@ def test_near_duplicates_without_rows_and_ids(spark):
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (0, 0), (7, 7), (7, 7)]
 
 
+def test_pairs_come_from_their_first_bucket_whatever_the_kept_bytes():
+    """Kept bytes agree in all bands, but only the second band's key does."""
+    import pyarrow as pa
+
+    bands = [[64, 129], [0, 129]]
+    n = len(bands)
+    row = {"key": [129] * n, "i": [0] * n, "j": [0] * n, "rep": [1, 2], "comp": [1, 2], "side": [0] * n, "bands": bands, "sig": [bytes(8)] * n, "fine": [bytes(minhash.FINE // 2)] * n}
+    (batch,) = pa.table(row, schema=pa.schema([(c, pa.list_(pa.int64()) if c == "bands" else pa.binary() if c in ("sig", "fine") else pa.int64()) for c in row])).to_batches()
+    (found,) = minhash._across(0.58, 0.677)(iter([batch]))
+    assert found.to_pydict() == {"a": [1], "b": [2]}
+
+
 def test_super_minhash_estimates_similarity():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
