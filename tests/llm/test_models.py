@@ -147,6 +147,29 @@ def test_tree_keeps_rare_contexts_of_a_large_corpus(spark):
     assert gram(b"l") in suffix_tree._retained(tree)[1].tolist()
 
 
+def test_lattices_hold_the_librarys_segmentation_of_runs_of_spaces():
+    texts = ["a b", "def f(x):\n    if x:\n        return   1  ", "  ", "   lead", "x" + " " * 40 + "y"]
+    texts = [t.replace("a b", "a    b") for t in texts]
+    with open(pieces.default_model(), "rb") as f:
+        v = pieces._vocabulary(f.read(), 1.0)
+    (c,) = _text.chunks(pa.array(texts))
+    data, start, end, rows = pieces._units(c)
+    words, w_start, w_end, which = pieces._distinct(data, start, end)
+    lat = pieces._Lattices(v, words, w_start, w_end)
+    edges = set(zip(lat.src.tolist(), lat.dst.tolist(), lat.piece.tolist(), strict=True))
+    for r, ids in enumerate(pieces.encode(texts)):
+        unit = int(rows[r])
+        at = int(w_start[which[unit]])
+        for p in ids:
+            to = at + int(v.size[p])
+            assert (at, to, p) in edges
+            at = to
+            if at == w_end[which[unit]] and unit + 1 < rows[r + 1]:
+                unit += 1
+                at = int(w_start[which[unit]])
+        assert unit + 1 == rows[r + 1] and at == w_end[which[unit]]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 6)], 0) for i in range(230)]
