@@ -48,6 +48,22 @@ def small(ids: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table_) if table_.count() <= rows else table_
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as make it differ from every column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def without(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` except those of these names, in any case."""
+    return [c for c in df.columns if c.lower() not in {n.lower() for n in names}]
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete tables that later steps no longer read."""
     for path in paths:
