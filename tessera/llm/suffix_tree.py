@@ -1,23 +1,34 @@
 """Language-model scores from a probabilistic suffix tree, and from token counts.
 
 The tree models the bytes of lower-cased texts, each followed by an end symbol. A context of up to
-``DEPTH`` bytes is a candidate if it is followed by some symbol ``min_count`` times or more, however
-large the corpus; it is retained if its next-symbol distribution diverges from that of the context one
-byte shorter (Kullback-Leibler, in nats) by ``divergence`` or more, and with it all its suffixes. Each
-distribution is smoothed with that of its parent, the root with the uniform one, so that every text has
-a probability. A text is scored by an automaton whose states are the retained contexts and their
-prefixes: the state after each byte knows the longest retained suffix.
-
-Counts cover all training texts. The tree grows with the corpus: every gram of the count that
-candidates need is sent to the driver and broadcast, 20 bytes each, and a state of the automaton takes
-8 bytes for each symbol in every Python worker that scores.
+``DEPTH`` bytes is retained if what it tells of the next symbol beyond the context one byte shorter is
+significant: its count times the Kullback-Leibler divergence of the two distributions (in nats) must
+reach ``gain`` and one more for each symbol that follows it but the first. With a context all its
+suffixes are retained; contexts of less than ``TRUNK`` bytes always are. The test knows nothing of the
+size of the corpus, so that a larger corpus grows a larger tree. Each distribution is smoothed with that
+of its parent, with a weight of ``strength`` for each symbol that follows the context, and the root with
+the uniform one, so that the tree gives every text a probability. A symbol is predicted by its longest
+retained context.
+
+1. One scan counts the grams of ``TRUNK`` bytes, at most 2**24 whatever the corpus, tokens, and
+   candidates for frequent words.
+2. A second one sends the counts of all grams of DEPTH + 1 bytes, packed, to buckets of their branch:
+   the TRUNK bytes before the predicted symbol. All longer contexts and all suffixes that a test or a
+   smoothed distribution needs are in one branch, so that each bucket grows its part of the tree alone
+   and returns packed tables: the log probabilities of grams, and the log shares that contexts leave to
+   their parents. Rare words go to buckets of their hash in the same shuffle.
+3. Texts are scored in passes: a pass broadcasts the tables of as many buckets as fill ``tree_bytes``
+   (more only if a single bucket does) and scores the symbols of these branches. One pass does for a
+   tree of up to ``tree_bytes``; a larger one costs more scans, not more memory.
+
+Counts cover all training texts; grams seen once count in the totals of contexts but are not tabled.
 
 Token counts are exact. Words that make up ``frequent_share`` of a batch's tokens or more are
 candidates for a list of frequent words, at most 2 / ``frequent_share`` long; their counts are summed
 for each batch and broadcast. Every other word meets its counterparts in a bucket of its hash: tasks
 send one packed row for each batch and bucket, and a bucket counts, scores and forgets its words, and
-returns the sums of its texts, again in packed rows, which are added up by parts of the texts. A word in a third of all texts is thus never gathered. The number
-of buckets grows with the number of tokens.
+returns the sums of its texts, again in packed rows, which are added up by parts of the texts. A word in
+a third of all texts is thus never gathered. The number of buckets grows with the number of tokens.
 
 Null texts are empty; an empty text is an end token. Null ids count as the empty string where ids are
 hashed. Repeated rows each count in training and each get their row. Without training texts all
@@ -27,44 +38,39 @@ distributions are uniform. Empty tables give no rows, and further columns are ig
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _text
 from tessera.llm._shared import keep
 
-#: Longest context in bytes; a gram with its next symbol then has 48 bits.
-DEPTH = 5
+#: Longest context in bytes; a gram with its next symbol then has 56 bits.
+DEPTH = 6
+#: Bytes of the trunk's grams: shorter contexts are retained untested.
+TRUNK = 3
 END = 255
-#: Occurrences that a context with a next symbol needs: a single one says nothing of a distribution.
+#: Occurrences that a gram needs to be tabled: a single one says nothing of a distribution.
 MIN_COUNT = 2
-#: Symbols of a text that are scored together; each run is warmed up with DEPTH bytes before it.
-SEGMENT = 512
 #: Tokens for a bucket of rare words.
 BUCKET_TOKENS = 2_000_000
 _U = np.uint64
 _GRAM, _WORD, _TOKENS = 0, 1, 2
-_FLUSH = 1 << 21
-
+#: Gram counts that a task holds at a time.
+_FLUSH = 1 << 20
 
-class Tree(NamedTuple):
-    """Grams by length: ``keys[l]`` are l context bytes and a symbol (last byte lowest), ``counts[l]``
-    how often they occur; ``total`` counts all symbols."""
 
-    keys: list[np.ndarray]
-    counts: list[np.ndarray]
-    total: int
-    divergence: float
-    strength: float
+def _mask(size: int) -> np.uint64:
+    """The last ``size`` bytes."""
+    return _U((1 << 8 * size) - 1)
 
 
-def _padded(chunk: _text.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """DEPTH zero bytes, the lower-cased bytes and END of each text; where each text's bytes begin,
-    and which places hold symbols to predict."""
+def _grams(chunk: _text.Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """DEPTH + 1 bytes up to each byte of the lower-cased texts and to their ends, the last one lowest
+    (before a text are zero bytes); and where each text's begin."""
     n = len(chunk.offsets) - 1
     extra = (DEPTH + 1) * np.arange(n + 1)
     out = np.zeros(len(chunk.data) + int(extra[-1]), np.uint8)
@@ -75,12 +81,16 @@ def _padded(chunk: _text.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out[base + np.diff(chunk.offsets)] = END
     for i in range(1, DEPTH + 1):
         real[base - i] = False
-    return out, base, real
+    wide = out.astype(_U)
+    g = wide.copy()
+    for i in range(1, DEPTH + 1):
+        g[i:] |= wide[:-i] << _U(8 * i)
+    return g[real], chunk.offsets[:-1] + np.arange(n)
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
@@ -99,21 +109,17 @@ def _rows(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
 
 
 def _first_counts(frequent_share: float):
-    """(row, held_out, text): grams of training texts, candidates for frequent words, tokens."""
+    """(row, held_out, text): trunk grams of training texts, candidates for frequent words, tokens."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: list[tuple[np.ndarray, np.ndarray]] = []
-        _BUILT.clear()
+        trunk = np.zeros(1 << 8 * TRUNK, np.int64)
         for batch in _text.batches(it):
-            batch = batch.filter(pa.compute.invert(batch.column(1)))
+            batch = batch.filter(pc.invert(batch.column(1)))
             words, tokens = [], 0
             for c in _text.chunks(batch.column(2)):
-                data, _, real = _padded(c)
-                wide = data.astype(_U)
-                g = wide.copy()
-                for i in range(1, DEPTH + 1):
-                    g[i:] |= wide[:-i] << _U(8 * i)
-                grams.append(_counted(g[real]))
+                g, _ = _grams(c)
+                some, n = _counted((g & _mask(TRUNK)).astype(np.uint32))
+                trunk[some] += n
                 w = _text.words(c, lower=True)
                 words.append(_counted(w.hash))
                 tokens += len(w.hash) + len(c.offsets) - 1
@@ -122,13 +128,9 @@ def _first_counts(frequent_share: float):
                 often = n >= max(2.0, frequent_share * tokens)
                 yield _rows(_WORD, h[often], n[often])
                 yield _rows(_TOKENS, np.zeros(1, np.int64), np.array([tokens]))
-            if sum(len(k) for k, _ in grams) > _FLUSH:
-                grams = [_merge(grams)]
-                if len(grams[0][0]) > _FLUSH // 2:
-                    yield _rows(_GRAM, *grams[0])
-                    grams = []
-        if grams:
-            yield _rows(_GRAM, *_merge(grams))
+        seen = np.flatnonzero(trunk)
+        if len(seen):
+            yield _rows(_GRAM, seen, trunk[seen])
 
     return count
 
@@ -141,16 +143,55 @@ def _lookup(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, sorted_[at] == x
 
 
+_RARE, _FREQUENT, _BRANCH = 0, 1, 2
+_PARTIAL = "kind int, bucket int, part int, id binary, s binary, known binary, n long"
+_TEXTS, _LISTED, _DISTINCT, _TREE = 0, 1, 2, 3
+
+
+def _bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
+    return ((_text.mix(x) >> _U(20)) % _U(buckets)).astype(np.int64)
+
+
+def _packed_grams(keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A row of grams and counts for each bucket."""
+    branch = (keys >> _U(8)) & _mask(TRUNK)
+    at, which = np.unique(branch, return_inverse=True)
+    bucket = _bucket_of(at, buckets)[which]
+    order = np.argsort(bucket, kind="stable")
+    keys, counts = keys[order], counts[order].astype(np.uint32)
+    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    some = np.flatnonzero(np.diff(cut)).tolist()
+    return _bucket_rows([(b, _BRANCH, keys[cut[b] : cut[b + 1]].tobytes(), b"", counts[cut[b] : cut[b + 1]].tobytes()) for b in some])
+
+
+def _bucket_rows(rows: list[tuple[int, int, bytes, bytes, bytes]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.record_batch(
+        [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())],
+        ["bucket", "kind", "hash", "row", "n"],
+    )
+
+
 def _packer(frequent, buckets: int):
-    """One row for each batch and bucket: hashes, texts and counts (negative: held out) of words."""
+    """Rows for buckets: for each batch, hashes, texts and counts (negative: held out) of rare words, and
+    counts of frequent ones; and grams of training texts, counted over as many as fit ``_FLUSH``."""
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed = frequent.value
+        grams: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in _text.batches(it):
             row_keys = batch.column(0).to_numpy()
             sign = np.where(np.asarray(batch.column(1)), -1, 1)
             hashes, rows, counts, often = [], [], [], []
             for c in _text.chunks(batch.column(2)):
+                g, first = _grams(c)
+                if (sign[c.first : c.first + len(first)] < 0).any():
+                    g = g[np.repeat(sign[c.first : c.first + len(first)] > 0, np.diff(np.append(first, len(g))))]
+                grams.append(_counted(g))
+                if sum(len(x) for x, _ in grams) > _FLUSH:
+                    grams = [_merge(grams)]
+                    if len(grams[0][0]) > _FLUSH // 2:
+                        yield _packed_grams(*grams.pop(), buckets)
                 w = _text.words(c, lower=True)
                 where, is_listed = _lookup(listed, w.hash)
                 for r, (a, b) in enumerate(zip(w.rows[:-1].tolist(), w.rows[1:].tolist(), strict=True)):
@@ -168,40 +209,35 @@ def _packer(frequent, buckets: int):
             h, row, n = h[order], row[order], n[order]
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             some = np.flatnonzero(np.diff(cut))
-            out = [(int(b), _GRAM, h[cut[b] : cut[b + 1]].tobytes(), row[cut[b] : cut[b + 1]].tobytes(), n[cut[b] : cut[b + 1]].tobytes()) for b in some]
+            out = [(int(b), _RARE, h[cut[b] : cut[b + 1]].tobytes(), row[cut[b] : cut[b + 1]].tobytes(), n[cut[b] : cut[b + 1]].tobytes()) for b in some]
             summed = np.sum(often, axis=0) if len(listed) else np.zeros(0, np.int64)
             seen = np.flatnonzero(summed)
             place = ((listed[seen] >> _U(20)) % _U(buckets)).astype(np.int64)
             for b in np.unique(place):
                 mine = seen[place == b]
-                out.append((int(b), _WORD, listed[mine].tobytes(), b"", summed[mine].astype(np.int64).tobytes()))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.record_batch(
-                [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())],
-                ["bucket", "kind", "hash", "row", "n"],
-            )
+                out.append((int(b), _FREQUENT, listed[mine].tobytes(), b"", summed[mine].astype(np.int64).tobytes()))
+            yield _bucket_rows(out)
+        if grams:
+            yield _packed_grams(*_merge(grams), buckets)
 
     return pack
 
 
-_PARTIAL = "kind int, part int, id binary, s binary, known binary"
-_TEXTS, _LISTED, _DISTINCT = 0, 1, 2
-
-
 def _joined(table: pa.Table, name: str, dtype, kind: int | None = None) -> np.ndarray:  # noqa: ANN001
     column = table.column(name)
     if kind is not None:
-        column = column.filter(pa.compute.equal(table.column("kind"), kind))
+        column = column.filter(pc.equal(table.column("kind"), kind))
     return np.frombuffer(b"".join(column.to_pylist()), dtype)
 
 
-def _settler(parts: int):
+def _settler(parts: int, trunk, rule: tuple[float, float, int]):
     """A bucket: log10(c + 1) of its rare words summed for each text, packed by part of the texts; counts
-    of frequent words; number of distinct training words."""
+    of frequent words; number of distinct training words; its branches of the tree."""
 
     def settle(table: pa.Table) -> pa.Table:
-        h, row = _joined(table, "hash", _U, _GRAM), _joined(table, "row", np.int64, _GRAM)
-        n = _joined(table, "n", np.int32, _GRAM).astype(np.int64)
+        bucket = table.column("bucket")[0].as_py()
+        h, row = _joined(table, "hash", _U, _RARE), _joined(table, "row", np.int64, _RARE)
+        n = _joined(table, "n", np.int32, _RARE).astype(np.int64)
         _, word = np.unique(h, return_inverse=True)
         c = np.bincount(word, weights=np.maximum(n, 0))
         tf = np.abs(n)
@@ -212,12 +248,20 @@ def _settler(parts: int):
         order = np.argsort(part, kind="stable")
         texts, s, known = texts[order], s[order], known[order]
         cut = np.searchsorted(part[order], np.arange(parts + 1).astype(_U))
-        out = [(_TEXTS, p, texts[cut[p] : cut[p + 1]].tobytes(), s[cut[p] : cut[p + 1]].tobytes(), known[cut[p] : cut[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(cut)).tolist()]
-        fh, fn = _merge([(_joined(table, "hash", _U, _WORD), _joined(table, "n", np.int64, _WORD))])
-        out.append((_LISTED, 0, fh.tobytes(), b"", fn.astype(np.int64).tobytes()))
-        out.append((_DISTINCT, 0, b"", b"", np.array([(c > 0).sum()], np.int64).tobytes()))
+        out = [(_TEXTS, p, texts[cut[p] : cut[p + 1]].tobytes(), s[cut[p] : cut[p + 1]].tobytes(), known[cut[p] : cut[p + 1]].tobytes(), 0) for p in np.flatnonzero(np.diff(cut)).tolist()]
+        fh, fn = _merge([(_joined(table, "hash", _U, _FREQUENT), _joined(table, "n", np.int64, _FREQUENT))])
+        if len(fh):
+            out.append((_LISTED, 0, fh.tobytes(), b"", fn.astype(np.int64).tobytes(), len(fh)))
+        out.append((_DISTINCT, 0, b"", b"", b"", int((c > 0).sum())))
+        keys = _joined(table, "hash", _U, _BRANCH)
+        if len(keys):
+            grown = grow(*_merge([(keys, _joined(table, "n", np.uint32, _BRANCH).astype(np.int64))]), trunk.value, *rule)
+            out += [(_TREE, name, k.tobytes(), v.astype(np.float32).tobytes(), b"", len(k)) for name, (k, v) in grown.items() if len(k)]
         cols = list(zip(*out, strict=True))
-        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *[pa.array(x, pa.binary()) for x in cols[2:]]], ["kind", "part", "id", "s", "known"])
+        return pa.table(
+            [pa.array(cols[0], pa.int32()), pa.array([bucket] * len(out), pa.int32()), pa.array(cols[1], pa.int32()), *[pa.array(x, pa.binary()) for x in cols[2:5]], pa.array(cols[5], pa.int64())],
+            ["kind", "bucket", "part", "id", "s", "known", "n"],
+        )
 
     return settle
 
@@ -230,127 +274,202 @@ def _sum_part(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(texts), pa.array(s), pa.array(known.astype(np.int64))], ["row", "rare_s", "rare_known"])
 
 
-class Automaton:
-    """The tree's states as dense tables over the symbols it knows."""
-
-    def __init__(self, tree: Tree) -> None:
-        symbols = np.union1d(tree.keys[0].astype(np.int64), [0])
-        self.column = np.full(256, len(symbols))
-        self.column[symbols] = np.arange(len(symbols))
-        width = self.width = len(symbols) + 1
-        retained = _retained(tree)
-        # Prefixes of retained contexts are states too; the set is closed under suffixes anyway.
-        states = [np.array([0], _U)] + [np.zeros(0, _U)] * DEPTH
-        for length in range(DEPTH, 0, -1):
-            states[length] = np.union1d(states[length], retained[length])
-            if length > 1:
-                states[length - 1] = np.union1d(states[length - 1], states[length] >> _U(8))
-        first = np.concatenate([[0], np.cumsum([len(s) for s in states])])
-        prob = np.empty((first[-1], width), np.float32)
-        step = np.zeros((first[-1], width), np.int32)
-        rare = 256 - len(symbols)
-        for length in range(DEPTH + 1):
-            mine = slice(first[length], first[length + 1])
-            if length:
-                shorter = first[length - 1] + np.searchsorted(states[length - 1], states[length] & _U((1 << 8 * (length - 1)) - 1))
-                for table in (prob, step):
-                    np.take(table, shorter, axis=0, out=table[mine], mode="clip")
-                keep_own = np.isin(states[length], retained[length])
+class _Level:
+    """Grams of one length, sorted: context bytes and a symbol. ``of`` is each one's context."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys, self.counts = keys, counts
+        context = keys >> _U(8)
+        at = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(keys) else np.zeros(0, np.int64)
+        self.contexts = context[at]
+        self.n_symbols = np.diff(np.append(at, len(keys)))
+        self.of = np.repeat(np.arange(len(at)), self.n_symbols)
+        self.total = np.add.reduceat(counts, at) if len(at) else np.zeros(0, np.int64)
+
+    def tabled(self, retained: np.ndarray, strength: float, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which grams are tabled, their own share, and what each context leaves to its parent."""
+        good = (self.counts >= min_count) & retained[self.of]
+        weight = strength * self.n_symbols
+        own = np.bincount(self.of, weights=self.counts * good, minlength=len(self.contexts))
+        left = (weight + self.total - own) / (self.total + weight)
+        return good, self.counts / (self.total + weight)[self.of], left
+
+
+class Trunk:
+    """The contexts of less than TRUNK bytes: ``tables`` are those of the levels, and ``probability`` that
+    of each gram of TRUNK bytes that is in ``grams``, all of which training texts have."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, strength: float, min_count: int) -> None:
+        levels = [_Level(keys, counts)]
+        for size in range(TRUNK - 1, 0, -1):
+            levels.insert(0, _Level(*_merge([(levels[0].keys & _mask(size), levels[0].counts)])))
+        self.grams, self.total = levels[-1], int(counts.sum())
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        above = None
+        for length, level in enumerate(levels):
+            good, own, left = level.tabled(np.ones(len(level.contexts), bool), strength, min_count)
+            if above is None:
+                parent = np.full(len(level.keys), 1 / 256)
             else:
-                prob[0] = 1 / 256
-                prob[0, -1] = rare / 256
-                keep_own = np.ones(1, bool)
-            at, known = _lookup(states[length], tree.keys[length] >> _U(8))
-            known &= keep_own[at] if len(at) else known
-            at, symbol, n = at[known], self.column[(tree.keys[length][known] & _U(255)).astype(np.int64)], tree.counts[length][known]
-            if len(at):
-                total = _totals(tree, length, states[length])
-                seen = np.bincount(at, weights=n, minlength=len(states[length]))
-                own = np.flatnonzero(keep_own)
-                share = np.ones(len(states[length]), np.float32)
-                share[own] = (tree.strength + total[own] - seen[own]) / (total[own] + tree.strength)
-                prob[mine] *= share[:, None]
-                prob[first[length] + at, symbol] += n / (total[at] + tree.strength)
-            if length < DEPTH and len(states[length + 1]):
-                parent = first[length] + np.searchsorted(states[length], states[length + 1] >> _U(8))
-                step[parent, self.column[(states[length + 1] & _U(255)).astype(np.int64)]] = first[length + 1] + np.arange(len(states[length + 1]))
-        # All symbols that the root doesn't know share a column, evenly.
-        prob[:, -1] /= max(1, rare)
-        self.log_p = np.log10(prob, out=prob).reshape(-1)
-        step *= np.int32(width)
-        self.step = step.reshape(-1)
-        self.size = int(first[-1])
-
-    def scores(self, chunk: _text.Chunk) -> np.ndarray:
-        """log10 probability of each text and its end."""
-        data, base, _ = _padded(chunk)
-        symbols = self.column[data].astype(np.int32)
-        sizes = np.diff(chunk.offsets) + 1
-        pieces = -(-sizes // SEGMENT)
-        row = np.repeat(np.arange(len(sizes)), pieces)
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = base[row] + nth * SEGMENT
-        length = np.minimum(SEGMENT, sizes[row] - nth * SEGMENT)
-        order = np.argsort(-length, kind="stable")
-        start, length = start[order], length[order]
-        state = np.zeros(len(order), np.int32)
-        for i in range(DEPTH, 0, -1):
-            state = self.step[state + symbols[start - i]]
-        total = np.zeros(len(order))
-        live = np.searchsorted(-length, -np.arange(1, SEGMENT + 1), "right")
-        for t in range(int(length.max(initial=0))):
-            m = live[t]
-            at = state[:m] + symbols[start[:m] + t]
-            total[:m] += self.log_p[at]
-            state[:m] = self.step[at]
-        back = np.empty_like(total)
-        back[order] = total
-        return np.add.reduceat(back, np.cumsum(pieces) - pieces) if len(row) else back
-
-
-def _totals(tree: Tree, length: int, contexts: np.ndarray) -> np.ndarray:
-    """How often each context is followed by a symbol."""
-    if not length:
-        return np.full(len(contexts), float(tree.total))
-    out = np.zeros(len(contexts))
-    at, known = _lookup(tree.keys[length - 1], contexts)
-    out[known] = tree.counts[length - 1][at[known]]
-    # A text's start is no symbol and therefore counted by what follows it.
-    own, of = np.unique(tree.keys[length] >> _U(8), return_inverse=True)
-    at, known = _lookup(own, contexts)
-    seen = np.bincount(of, weights=tree.counts[length], minlength=len(own))
-    out[known] = np.maximum(out[known], seen[at[known]])
+                parent = above[_lookup(levels[length - 1].keys, level.keys & _mask(length))[0]]
+            above = np.where(good, own, 0.0) + left[level.of] * parent
+            self.tables |= _tables(length, level, good, above, left, np.ones(len(left), bool))
+        self.probability = above if above is not None else np.zeros(0)
+
+
+def _tables(length: int, level: _Level, good: np.ndarray, p: np.ndarray, left: np.ndarray, retained: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Table 2 * length: log10 probabilities of grams; 2 * length + 1: log10 shares left by contexts.
+    Keys are mixed."""
+    with np.errstate(divide="ignore"):
+        return {
+            2 * length: (_text.mix(level.keys[good]), np.log10(p[good])),
+            2 * length + 1: (_text.mix(level.contexts[retained]), np.log10(left[retained])),
+        }
+
+
+def grow(keys: np.ndarray, counts: np.ndarray, trunk: Trunk, gain: float, strength: float, min_count: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The tables of some branches, from the counts of all their grams of DEPTH + 1 bytes."""
+    levels = [_Level(keys, counts)]
+    for size in range(DEPTH, TRUNK, -1):
+        levels.insert(0, _Level(*_merge([(levels[0].keys & _mask(size), levels[0].counts)])))
+    base = trunk.grams
+    retained: list[np.ndarray] = []
+    above = base
+    parents: list[np.ndarray] = []
+    for i, level in enumerate(levels):
+        length = TRUNK + i
+        parent = _lookup(above.keys, level.keys & _mask(length))[0]
+        parents.append(parent)
+        p = level.counts / level.total[level.of]
+        q = above.counts[parent] / above.total[above.of[parent]]
+        told = np.bincount(level.of, weights=level.counts * np.log(p / q), minlength=len(level.contexts))
+        retained.append(told >= gain + level.n_symbols - 1)
+        above = level
+    for i in range(len(levels) - 1, 0, -1):
+        suffixes = np.unique(levels[i].contexts[retained[i]] & _mask(TRUNK + i - 1))
+        retained[i - 1][np.searchsorted(levels[i - 1].contexts, suffixes)] = True
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    probability = trunk.probability
+    for i, level in enumerate(levels):
+        good, own, left = level.tabled(retained[i], strength, min_count)
+        inherited = probability[parents[i]]
+        probability = np.where(retained[i][level.of], np.where(good, own, 0.0) + left[level.of] * inherited, inherited)
+        out |= _tables(TRUNK + i, level, good, probability, left, retained[i])
     return out
 
 
-def _retained(tree: Tree) -> list[np.ndarray]:
-    """Contexts of each length that pass the divergence test or are suffixes of such."""
-    out = [np.zeros(0, _U) for _ in range(DEPTH + 1)]
-    for length in range(DEPTH, 0, -1):
-        keys, counts = tree.keys[length], tree.counts[length].astype(float)
-        contexts, of = np.unique(keys >> _U(8), return_inverse=True)
-        if len(contexts):
-            total = _totals(tree, length, contexts)
-            shorter = keys & _U((1 << 8 * length) - 1)
-            at, _ = _lookup(tree.keys[length - 1], shorter)
-            above = tree.counts[length - 1][at] / _totals(tree, length - 1, contexts & _U((1 << 8 * (length - 1)) - 1))[of]
-            gain = np.bincount(of, weights=counts / total[of] * np.log(counts / total[of] / above), minlength=len(contexts))
-            out[length] = np.union1d(out[length], contexts[gain >= tree.divergence])
-        if length > 1:
-            out[length - 1] = np.union1d(out[length - 1], out[length] & _U((1 << 8 * (length - 1)) - 1))
+class _Table:
+    """Values by mixed key; ``start`` says where the keys of each leading bit pattern begin."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.keys, self.values = keys, values
+        bits = max(1, int(len(keys)).bit_length())
+        self.shift = _U(64 - bits)
+        sizes = np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.start = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The place of each x, or -1."""
+        m = _text.mix(x)
+        head = (m >> self.shift).astype(np.int64)
+        at, end = self.start[head], self.start[head + 1]
+        out = np.full(len(x), -1, np.int32)
+        live = np.flatnonzero(at < end)
+        at, end, m = at[live], end[live], m[live]
+        while len(live):
+            hit = self.keys[at] == m
+            out[live[hit]] = at[hit]
+            at += 1
+            go = np.flatnonzero(~hit & (at < end))
+            live, at, end, m = live[go], at[go], end[go], m[go]
+        return out
+
+
+class Scorer:
+    """Tables of the trunk and of some buckets' branches."""
+
+    def __init__(self, tables: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        self.tables = {name: _Table(k, v) for name, (k, v) in tables.items()}
+
+    def log_p(self, g: np.ndarray) -> np.ndarray:
+        """log10 probability of the last byte of each gram."""
+        out = np.zeros(len(g))
+        # The longest retained context of each gram; what contexts leave to their parents.
+        depth = np.zeros(len(g), np.int8)
+        shares: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * (DEPTH + 1)
+        live = np.arange(len(g))
+        for length in range(1, DEPTH + 1):
+            table = self.tables.get(2 * length + 1)
+            if table is None or not len(live):
+                break
+            at = table.find((g[live] >> _U(8)) & _mask(length))
+            some = at >= 0
+            live = live[some]
+            depth[live] = length
+            shares[length] = live, table.values[at[some]]
+        missed = np.zeros(len(g), bool)
+        for length in range(DEPTH, -1, -1):
+            now = np.flatnonzero(missed | (depth == length))
+            table = self.tables.get(2 * length)
+            at = table.find(g[now] & _mask(length + 1)) if table is not None else np.full(len(now), -1, np.int32)
+            hit = at >= 0
+            if table is not None:
+                out[now[hit]] += table.values[at[hit]]
+            missed[now] = ~hit
+            depth[now[hit]] = -1
+            if length:
+                where, share = shares[length]
+                mine = missed[where]
+                out[where[mine]] += share[mine]
+        root = self.tables.get(1)
+        out[missed] += (float(root.values[0]) if root is not None else 0.0) - np.log10(256.0)
+        return out
+
+
+def _tree_of(rows: pa.Table, trunk: Trunk) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The tables of some buckets and of the trunk, sorted by mixed key."""
+    out = {}
+    part = rows.column("part").to_numpy() if rows.num_rows else np.zeros(0, np.int32)
+    for name in range(2 * DEPTH + 2):
+        mine = rows.filter(pa.array(part == name))
+        keys, values = _joined(mine, "id", _U), _joined(mine, "s", np.float32)
+        if name in trunk.tables:
+            keys, values = trunk.tables[name]
+        order = np.argsort(keys)
+        if len(keys):
+            out[name] = keys[order], values[order].astype(np.float32)
     return out
 
 
-def _scorer(tree, words):
-    """(row, held_out, text) and what follows the text: the text's parts of both scores."""
+def _tree_scores(scorer: Scorer, chosen: np.ndarray | None, c: _text.Chunk) -> np.ndarray:
+    """log10 probability of the symbols of chosen buckets (None: all), summed for each text of a chunk."""
+    g, first = _grams(c)
+    if not len(first):
+        return np.zeros(0)
+    if chosen is None:
+        p = scorer.log_p(g)
+    else:
+        p = np.zeros(len(g))
+        mine = np.flatnonzero(chosen[_bucket_of((g >> _U(8)) & _mask(TRUNK), len(chosen))])
+        p[mine] = scorer.log_p(g[mine])
+    return np.add.reduceat(p, first)
+
+
+def _scorer(sent, chosen, words):
+    """(row, held_out, text) and what follows the text: the text's parts of both scores; of later passes
+    (``words`` is None) only that of the tree."""
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(tree)
-        listed, counts, ends = words.value
-        weight = np.log10(counts + 1.0)
+        scorer = Scorer(sent.value)
+        if words is not None:
+            listed, counts, ends = words.value
+            weight = np.log10(counts + 1.0)
         for batch in _text.batches(it):
-            n_tokens, s, known, score = [], [], [], []
+            n_tokens, s, known, score = [], [], [], [np.zeros(0)]
             for c in _text.chunks(batch.column(2)):
+                score.append(_tree_scores(scorer, chosen, c))
+                if words is None:
+                    continue
                 w = _text.words(c, lower=True)
                 at, is_listed = _lookup(listed, w.hash)
                 value = np.where(is_listed, weight[at] if len(listed) else 0.0, 0.0)
@@ -359,41 +478,29 @@ def _scorer(tree, words):
                     n_tokens.append(b - a + 1)
                     s.append(float(value[a:b].sum()) + float(np.log10(ends + 1.0)))
                     known.append(int(seen[a:b].sum()) + (ends > 0))
-                score.append(automaton.scores(c))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), pa.array(n_tokens, pa.int64()), pa.array(s, pa.float64()), pa.array(known, pa.int64()), pa.array(np.concatenate(score) if score else [], pa.float64())],
-                ["row", "held_out", "doc_id", "n_tokens", "s", "known", "score"],
-            )
+            total = pa.array(np.concatenate(score))
+            if words is None:
+                yield pa.RecordBatch.from_arrays([batch.column(0), total], ["row", "more"])
+            else:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), batch.column(3), pa.array(n_tokens, pa.int64()), pa.array(s, pa.float64()), pa.array(known, pa.int64()), total],
+                    ["row", "held_out", "doc_id", "n_tokens", "s", "known", "score"],
+                )
 
     return score
 
 
-_BUILT: dict[int, Automaton] = {}
-
-
-def _automaton(tree) -> Automaton:
-    """Built once in a Python worker."""
-    if id(tree) not in _BUILT:
-        _BUILT.clear()
-        _BUILT[id(tree)] = Automaton(tree.value)
-    return _BUILT[id(tree)]
-
-
-def grow_tree(counted: DataFrame, min_count: int, divergence: float, strength: float) -> Tree:
-    """The tree from counts (kind, key, n) of grams of DEPTH + 1 bytes."""
-    grams = counted.filter(F.col("kind") == _GRAM)
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    masks = F.array(*[F.struct(F.lit(i).alias("len"), F.lit((1 << 8 * (i + 1)) - 1 if i < 7 else -1).cast("long").alias("mask")) for i in range(DEPTH + 1)])
-    shorter = grams.select(F.explode(masks).alias("m"), "key", "n").groupBy("m.len", F.col("key").bitwiseAND(F.col("m.mask")).alias("key"))
-    rows = shorter.agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count).toArrow()
-    size, key, n = (rows.column(c).to_numpy() for c in ("len", "key", "n"))
-    keys, counts = [], []
-    for i in range(DEPTH + 1):
-        mine = np.flatnonzero(size == i)
-        mine = mine[np.argsort(key[mine])]
-        keys.append(key[mine].view(_U))
-        counts.append(n[mine])
-    return Tree(keys, counts, int(total), divergence, strength)
+def _passes(sizes: list[tuple[int, int]], tree_bytes: int) -> list[list[int]]:
+    """Buckets in order, as many at a time as fill ``tree_bytes``; one empty list without any."""
+    out: list[list[int]] = [[]]
+    filled = 0
+    for bucket, n in sorted(sizes):
+        if out[-1] and filled + 12 * n > tree_bytes:
+            out.append([])
+            filled = 0
+        out[-1].append(bucket)
+        filled += 12 * n
+    return out
 
 
 def score_texts(
@@ -403,9 +510,10 @@ def score_texts(
     folds: int = 7,
     held_fold: int = 2,
     min_count: int = MIN_COUNT,
-    divergence: float = 0.02,
-    strength: float = 60.0,
+    gain: float = 10.0,
+    strength: float = 8.0,
     frequent_share: float = 1e-5,
+    tree_bytes: int = 64 << 20,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text.
 
@@ -421,7 +529,8 @@ def score_texts(
     counted, _ = keep(
         slim.mapInArrow(_first_counts(frequent_share), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts"
     )
-    tree = grow_tree(counted, min_count, divergence, strength)
+    grams = counted.filter(F.col("kind") == _GRAM).select("key", "n").toArrow().sort_by("key")
+    trunk = Trunk(grams.column("key").to_numpy().view(_U), grams.column("n").to_numpy(), strength, min_count)
     tokens = counted.filter(F.col("kind") == _TOKENS).agg(F.sum("n")).first()[0] or 0
     ends = rows.filter("not held_out").count()
     often = counted.filter((F.col("kind") == _WORD) & (F.col("n") >= max(2.0, frequent_share * tokens / 2))).select("key").toPandas()
@@ -429,19 +538,41 @@ def score_texts(
 
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_TOKENS))
     packed = slim.mapInArrow(_packer(sc.broadcast(listed), buckets), "bucket int, kind int, hash binary, row binary, n binary")
-    partial, _ = keep(packed.groupBy("bucket").applyInArrow(_settler(buckets), _PARTIAL), "word-scores")
+    settle = _settler(buckets, sc.broadcast(trunk), (gain, strength, min_count))
+    partial, _ = keep(packed.groupBy("bucket").applyInArrow(settle, _PARTIAL), "word-scores")
 
     counts = np.zeros(len(listed), np.int64)
-    few = partial.filter(F.col("kind") != _TEXTS).toArrow()
-    at, there = _lookup(listed, _joined(few, "id", _U, _LISTED))
-    counts[at[there]] = _joined(few, "known", np.int64, _LISTED)[there]
-    distinct = int(_joined(few, "known", np.int64, _DISTINCT).sum()) + int((counts > 0).sum()) + (ends > 0)
+    few = partial.filter(F.col("kind") == _LISTED).select("id", "known").toArrow()
+    at, there = _lookup(listed, _joined(few, "id", _U))
+    counts[at[there]] = _joined(few, "known", np.int64)[there]
+    distinct = int(partial.filter(F.col("kind") == _DISTINCT).agg(F.sum("n")).first()[0] or 0) + int((counts > 0).sum()) + (ends > 0)
     scale = float(np.log10(tokens + distinct + 1))
 
-    own = rows.mapInArrow(
-        _scorer(sc.broadcast(tree), sc.broadcast((listed, counts, ends))),
-        "row long, held_out boolean, doc_id long, n_tokens long, s double, known long, score double",
-    )
+    branches = partial.filter(F.col("kind") == _TREE)
+    sizes = [(r["bucket"], r["n"]) for r in branches.groupBy("bucket").agg(F.sum("n").alias("n")).collect()]
+    own, later = None, []
+    passes = _passes(sizes, tree_bytes)
+    for i, mine in enumerate(passes):
+        found = branches.filter(F.col("bucket").between(mine[0], mine[-1])) if mine else branches.limit(0)
+        sent = sc.broadcast(_tree_of(found.select("part", "id", "s").toArrow(), trunk))
+        chosen = np.zeros(buckets, bool)
+        chosen[(mine[0] if i else 0) : (passes[i + 1][0] if i + 1 < len(passes) else buckets)] = True
+        chosen = None if len(passes) == 1 else chosen
+        if not i:
+            own = rows.mapInArrow(
+                _scorer(sent, chosen, sc.broadcast((listed, counts, ends))),
+                "row long, held_out boolean, doc_id long, n_tokens long, s double, known long, score double",
+            )
+            if len(passes) > 1:
+                own, _ = keep(own, "scores")
+        else:
+            more, _ = keep(slim.mapInArrow(_scorer(sent, chosen, None), "row long, more double").groupBy("row").agg(F.avg("more").alias("more")), "more-scores")
+            later.append(more)
+        if len(passes) > 1:
+            sent.destroy()
+    for more in later:
+        own = own.join(more, "row").withColumn("score", F.col("score") + F.col("more")).drop("more")
+
     texts = partial.filter(F.col("kind") == _TEXTS).select("part", "id", "s", "known")
     summed = texts.groupBy("part").applyInArrow(_sum_part, "row long, rare_s double, rare_known long")
     # Rows that are alike in id and text have one key; each of them has added to its sum.
