@@ -54,13 +54,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the hash base and of its inverse, modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_P, _P_INV)):
-            step = np.full(n, base, _U)
-            step[0] = 1
-            _POWERS[k] = np.cumprod(step, dtype=_U)
-    return _POWERS[0][:n], _POWERS[1][:n]
+    """Powers 0..n-1 of the hash base and of its inverse, modulo 2**64. Those that a chunk needs are
+    kept; more, for a text longer than a chunk, are made for the one call."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    out = []
+    for base in (_P, _P_INV):
+        step = np.full(max(n, 1 << 16), base, _U)
+        step[0] = 1
+        out.append(np.cumprod(step, dtype=_U))
+    if n <= 2 * CHUNK_BYTES:
+        _POWERS[:] = out
+    return out[0][:n], out[1][:n]
 
 
 def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
@@ -118,7 +123,7 @@ def grams(w: Words, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
 
 
-def batches(it: Iterator[pa.RecordBatch], limit: int = 1 << 25) -> Iterator[pa.RecordBatch]:
+def batches(it: Iterator[pa.RecordBatch], limit: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches of about ``limit`` bytes at most, at least a row each."""
     for b in it:
         step = max(1, int(b.num_rows * limit // max(b.nbytes, limit)))

@@ -20,7 +20,9 @@ is sorted or collected.
 A text without words (null, empty) has no score and is neither kept nor sampled. Labels that are null
 are ignored, and several labels of one document count as good only if all are. Without good labels
 all documents with words are kept. Ties at the k-th largest sum are all sampled. Repeated rows each
-get their row, an empty table gives none, and columns of any other name pass through.
+get their row, an empty table gives none, and other columns pass through; a column of the input that
+has the name of one of the result (n_features, log_weight, score, kept, gumbel_key, sampled) gives way
+to it, except in ``keep_good``, which returns all columns as they are.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import _text
+from tessera.llm._shared import without
 
 #: Hashed n-grams.
 BUCKETS = 1 << 14
@@ -93,8 +96,12 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(at), pa.array(good[at]), pa.array(every[at])], ["bucket", "good", "every"])
 
 
-def _scorer(model: Model, text_at: int, drop: list[int]):
+def _scorer(sent, text_at: int, stay: list[int], kept_only: bool = False):
+    """Rows with n_features, log_weight and score; or, ``kept_only``, the rows as they are that the model
+    keeps, so that no other row leaves Python."""
+
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         for batch in _text.batches(it):
             size, weight = [], []
             for c in _text.chunks(batch.column(text_at)):
@@ -105,7 +112,10 @@ def _scorer(model: Model, text_at: int, drop: list[int]):
                     weight.append(float(value[a:b].sum()))
             n, s = np.array(size, np.int64), np.array(weight)
             mean = pa.array(s / np.maximum(n, 1), mask=n == 0)
-            stay = [i for i in range(batch.num_columns) if i not in drop]
+            if kept_only:
+                good = (n > 0) & (s / np.maximum(n, 1) >= model.threshold)
+                yield batch if good.all() else batch.filter(pa.array(good))
+                continue
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in stay], pa.array(n), pa.array(s, mask=n == 0), mean],
                 [*[batch.schema.names[i] for i in stay], "n_features", "log_weight", "score"],
@@ -116,12 +126,13 @@ def _scorer(model: Model, text_at: int, drop: list[int]):
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` without the columns ``drop``, with n_features, log_weight and score."""
-    fields = [f for f in docs.schema.fields if f.name not in drop]
+    stay = without(docs, *drop, "n_features", "log_weight", "score")
     schema = T.StructType(
-        [*fields, T.StructField("n_features", T.LongType()), T.StructField("log_weight", T.DoubleType()), T.StructField("score", T.DoubleType())]
+        [*[docs.schema[c] for c in stay], T.StructField("n_features", T.LongType()), T.StructField("log_weight", T.DoubleType()), T.StructField("score", T.DoubleType())]
     )
     names = docs.columns
-    return docs.mapInArrow(_scorer(model, names.index(text), [names.index(d) for d in drop]), schema)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_scorer(sent, names.index(text), [names.index(c) for c in stay]), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", max_labelled: int = 20_000) -> Model:
@@ -206,6 +217,7 @@ def gumbel_key(log_weight: str, doc_id: str, seed: int = 0):
 def resample(scored: DataFrame, model: Model, fraction: float = 0.5, doc_id: str = "doc_id", seed: int = 0) -> DataFrame:
     """``scored`` with kept, gumbel_key and sampled: whether it is among the ``fraction`` of the
     documents with words that have the largest keys. Reads its input six times; give it a table."""
+    scored = scored.select(*without(scored, "kept", "gumbel_key", "sampled"))
     keyed = scored.withColumn("kept", F.coalesce(F.col("score") >= model.threshold, F.lit(False))).withColumn(
         "gumbel_key", gumbel_key("log_weight", doc_id, seed)
     )
@@ -216,7 +228,7 @@ def resample(scored: DataFrame, model: Model, fraction: float = 0.5, doc_id: str
     return keyed.withColumn("sampled", chosen)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps."""
-    model = fit(docs, labels, **how)
-    return score_documents(docs, model).filter(F.col("score") >= model.threshold).select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text=text, **how))
+    return docs.mapInArrow(_scorer(sent, docs.columns.index(text), list(range(len(docs.columns))), kept_only=True), docs.schema)
