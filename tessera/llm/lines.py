@@ -12,8 +12,8 @@ keys are few (``broadcast_rows`` at most) and a skew-splitting shuffle join beyo
 
 A null or empty text is one empty line. A null id counts as a document, smaller than all others.
 Rows that repeat an id are one document of that id when documents are counted, and share its bitmap
-only if their lines are the same; an id should therefore be unique. Empty tables give no rows and
-further columns are ignored. The lines of one text stay in one row: a text of any length works that
+only if their lines are the same; an id should therefore be unique. Empty tables give no rows. Further
+columns pass through ``dedup_lines`` whatever their names, but n_lines and n_dropped, which are its own. The lines of one text stay in one row: a text of any length works that
 a row can hold.
 """
 
@@ -24,7 +24,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import keep
+from tessera.llm._shared import fresh, keep, without
 
 #: What is stripped from both ends of a line.
 SPACES = " \t\n\x0b\f\r"
@@ -123,10 +123,11 @@ def _kept(x: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
     """``docs`` with n_lines, n_dropped and ``text`` without the lines that go; all rows stay."""
-    found = line_bitmaps(docs, doc_id, text, **how).withColumnRenamed("doc_id", "_line_doc")
-    joined = docs.join(found.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("_line_doc")), "left")
+    of, bits, gone = fresh(docs, "line_doc", "line_keep", "line_dropped")
+    found = line_bitmaps(docs, doc_id, text, **how).select(F.col("doc_id").alias(of), F.col("keep").alias(bits), F.col("n_dropped").alias(gone))
+    joined = docs.join(found.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col(of)), "left")
     return joined.select(
-        *[kept_text(F.col(text), F.col("keep")).alias(c) if c == text else F.col(c) for c in docs.columns],
+        *[kept_text(F.col(text), F.col(bits)).alias(c) if c == text else F.col(c) for c in without(docs, "n_lines", "n_dropped")],
         F.size(split_lines(F.col(text))).cast("long").alias("n_lines"),
-        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(gone, F.lit(0)).cast("long").alias("n_dropped"),
     )
