@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -96,3 +97,44 @@ def remove_repeats(docs, length=50):
                 gone |= set(range(s, s + length))
         out[d] = (len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))
     return out
+
+
+def tree_scores(training, texts, gain, strength, depth=6, trunk=3, min_count=2):
+    """log10 probability of each text under the suffix tree of the training texts."""
+    seq = lambda t: bytes(depth) + (t or "").translate(LOWER).encode() + b"\xff"
+    counts = defaultdict(Counter)
+    for t in training:
+        s = seq(t)
+        for i in range(depth, len(s)):
+            for n in range(depth + 1):
+                counts[s[i - n : i]][s[i]] += 1
+    total = {c: sum(x.values()) for c, x in counts.items()}
+
+    def significant(c):
+        told = sum(n * math.log(n / total[c] / (counts[c[1:]][s] / total[c[1:]])) for s, n in counts[c].items())
+        return told >= gain + len(counts[c]) - 1
+
+    retained = {c for c in counts if len(c) < trunk}
+    for c in counts:
+        if len(c) >= trunk and significant(c):
+            retained.update(c[i:] for i in range(len(c)))
+
+    def p(c, s):
+        if c not in retained:
+            return p(c[1:], s) if c else 1 / 256
+        tabled = {x: n for x, n in counts[c].items() if n >= min_count}
+        weight = strength * len(counts[c])
+        below = p(c[1:], s) if c else 1 / 256
+        return (tabled.get(s, 0) + (weight + total[c] - sum(tabled.values())) * below) / (total[c] + weight)
+
+    out, known = [], {}
+    for t in texts:
+        s = seq(t)
+        score = 0.0
+        for i in range(depth, len(s)):
+            at = s[i - depth : i], s[i]
+            if at not in known:
+                known[at] = math.log10(p(*at))
+            score += known[at]
+        out.append(score)
+    return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -92,59 +93,48 @@ def test_language_model(spark):
     assert suffix_tree.score_texts(docs_of(spark, [])).count() == 0
 
 
-def _tree(texts, share=1e-3):
-    (c,) = _text.chunks(pa.array(texts))
-    data, _, real = suffix_tree._padded(c)
-    g = data.astype(np.uint64)
-    for i in range(1, suffix_tree.DEPTH + 1):
-        g[i:] |= data[:-i].astype(np.uint64) << np.uint64(8 * i)
-    keys, counts = suffix_tree._counted(g[real])
-    ks, cs = [], []
-    for i in range(suffix_tree.DEPTH + 1):
-        k, n = suffix_tree._merge([(keys & np.uint64((1 << 8 * (i + 1)) - 1), counts)])
-        ok = n >= max(2, share * counts.sum())
-        ks.append(k[ok])
-        cs.append(n[ok])
-    return suffix_tree.Tree(ks, cs, int(counts.sum()), 0.02, 2.0)
-
-
-def test_suffix_tree_is_a_distribution_and_uses_longest_suffixes():
+def test_tree_scores_by_definition(spark):
+    """Scores of the table against the plain definition, in one pass and in many."""
     rng = np.random.default_rng(2)
-    texts = ["".join(rng.choice(["ab", "ac", "bd "], rng.integers(1, 30))) for _ in range(200)]
-    tree = _tree(texts)
-    a = suffix_tree.Automaton(tree)
-    table = (10.0 ** a.log_p.reshape(a.size, a.width)).astype(float)
-    known = a.width - 1
-    assert np.allclose(table[:, :known].sum(1) + table[:, known] * (256 - known), 1, atol=1e-5)
-    retained = [set(r.tolist()) for r in suffix_tree._retained(tree)]
-    assert all(k & ((1 << 8 * (i - 1)) - 1) in retained[i - 1] for i in range(2, suffix_tree.DEPTH + 1) for k in retained[i])
-
-    def prob(context, symbol):
-        """P(symbol | context) by definition: from the longest retained suffix down to the root."""
-        length = max((i for i in range(1, suffix_tree.DEPTH + 1) if int.from_bytes(context[-i:], "big") in retained[i]), default=0)
-        p = 1 / 256
-        for i in range(length + 1):
-            ctx = int.from_bytes(context[len(context) - i :], "big")
-            own = {int(k) & 255: int(n) for k, n in zip(tree.keys[i], tree.counts[i], strict=True) if int(k) >> 8 == ctx}
-            total = float(suffix_tree._totals(tree, i, np.array([ctx], np.uint64))[0])
-            s = tree.strength
-            p = (own.get(symbol, 0) + (s + total - sum(own.values())) * p) / (total + s)
-        return p
-
-    for text in ["abac", "", "zq☃", texts[0], "ab" * 700]:
-        seq = bytes(5) + text.encode() + bytes([suffix_tree.END])
-        want = sum(math.log10(prob(seq[i - 5 : i], seq[i])) for i in range(5, len(seq)))
-        (c,) = _text.chunks(pa.array([text]))
-        assert a.scores(c)[0] == pytest.approx(want, rel=1e-5)
-
-
-def test_tree_keeps_rare_contexts_of_a_large_corpus(spark):
-    gram = lambda b: int.from_bytes(b, "big")
-    counted = spark.createDataFrame([(0, gram(b"common"), 10**9), (0, gram(b"rarely"), 3), (0, gram(b"single"), 1)], "kind int, key long, n long")
-    tree = suffix_tree.grow_tree(counted, suffix_tree.MIN_COUNT, 0.02, 60.0)
-    for i in range(suffix_tree.DEPTH + 1):
-        assert {gram(b"common"[-i - 1 :]), gram(b"rarely"[-i - 1 :])} == set(tree.keys[i].tolist())
-    assert gram(b"l") in suffix_tree._retained(tree)[1].tolist()
+    rows = [(i, " ".join("".join(rng.choice(["ab", "ac", "bd", "É"], rng.integers(1, 5))) for _ in range(rng.integers(1, 60)))) for i in range(90)]
+    rows += [(200 + i, t) for i, t in enumerate(brute.ODD)] + [(500, "twice ab"), (500, "twice ab"), (None, "no id")]
+    held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
+    want = brute.tree_scores([t for d, t in rows if not held(d)], [t for _, t in rows], 4.0, 2.0)
+    texts = {d: w for (d, _), w in zip(rows, want, strict=True)}
+    for tree_bytes in (64 << 20, 3000):
+        got = suffix_tree.score_texts(docs_of(spark, rows), gain=4.0, strength=2.0, tree_bytes=tree_bytes).toPandas()
+        assert len(got) == len(rows)
+        for r in got.itertuples():
+            assert r.score == pytest.approx(texts[None if math.isnan(r.doc_id) else int(r.doc_id)], rel=1e-5)
+
+
+def test_tree_is_a_distribution():
+    rng = np.random.default_rng(3)
+    (c,) = _text.chunks(pa.array(["".join(rng.choice(["abcd e", "xbcd f"], rng.integers(1, 30))) for _ in range(200)]))
+    g, _ = suffix_tree._grams(c)
+    keys, counts = suffix_tree._counted(g)
+    trunk = suffix_tree.Trunk(*suffix_tree._counted(g & np.uint64((1 << 24) - 1)), 8.0, 2)
+    grown = suffix_tree.grow(keys, counts, trunk, 10.0, 8.0, 2)
+    assert len(grown[2 * suffix_tree.TRUNK][0]) >= 2
+    rows = pa.table({"part": pa.array(list(grown), pa.int32()), "id": [k.tobytes() for k, _ in grown.values()], "s": [v.astype(np.float32).tobytes() for _, v in grown.values()]})
+    scorer = suffix_tree.Scorer(suffix_tree._tree_of(rows, trunk))
+    for context in [*(keys[:: len(keys) // 7] >> np.uint64(8)).tolist(), 0, 0x7A7A7A7A7A7A]:
+        every = np.uint64(context << 8) | np.arange(256, dtype=np.uint64)
+        assert (10.0 ** scorer.log_p(every)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_tree_does_not_depend_on_the_size_of_the_corpus():
+    """A context that is significant stays so beside any number of others."""
+    few, _ = np.unique(np.array([int.from_bytes(b, "big") for b in (b"xyzzyq!", b"abzzyq?")], np.uint64)), 0
+    many = np.array([int.from_bytes(b"common!", "big")], np.uint64)
+    for n in (0, 10**9):
+        keys = np.sort(np.concatenate([few, many]))
+        counts = np.where(keys == many[0], n + 1, 40)
+        size = np.uint64((1 << 24) - 1)
+        trunk = suffix_tree.Trunk(*suffix_tree._merge([(keys & size, counts)]), 8.0, 2)
+        grown = suffix_tree.grow(keys, counts, trunk, 10.0, 8.0, 2)
+        at = _text.mix(np.array([int.from_bytes(b"zzyq", "big"), int.from_bytes(b"yzzyq", "big")], np.uint64))
+        assert at[1] in grown[2 * 5 + 1][0] and at[0] in grown[2 * 4 + 1][0]
 
 
 def test_lattices_hold_the_librarys_segmentation_of_runs_of_spaces():
@@ -174,11 +164,12 @@ def test_top_k(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 6)], 0) for i in range(230)]
     rows += [(300 + i, [0.5] * 6, 0) for i in range(40)] + [(500, None, 0), (501, [None] * 6, 0), (502, [float("nan")] * 6, 0), (503, [float("inf")] * 6, 0), (None, [1.0] * 6, 0)]
-    rows += [(505, [], 0), (506, [2.0, 1.0], 0), (507, [1e30] * 6, 0), (50, [0.25] * 6, 0)]
+    rows += [(505, [], 0), (506, [2.0, 1.0], 0), (507, [1e30, 1.0, 0, 0, 0, -1.0], 0), (50, [0.25] * 6, 0)]
+    rows += [(550, [-131072.0, 1, 0, 0, 0, 0], 0), (100, [-9.0, None, 0, 0, 0, 0], 0), (150, [float("-inf")] * 6, 0), (508, [2e5, -3.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int").repartition(4)
     from pyspark.sql import functions as F
 
-    usable = [(i, np.floor(256.0 * np.array(v, np.float32).astype(float)).astype(int).tolist()) for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) and abs(x) < 1e6 for x in v)]
+    usable = [(i, [math.floor(256 * Fraction(float(np.float32(x)))) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     queries = {}
     for i, v in usable:
         if i % 50 == 0:
@@ -186,7 +177,7 @@ def test_top_k(spark):
     want = {}
     for q, v in queries.items():
         scored = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in usable if i != q)
-        want[q] = [(r, i, -s) for r, (s, i) in enumerate(scored[:5], 1)]
+        want[q] = [(r, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for r, (s, i) in enumerate(scored[:5], 1)]
     for group_bytes in (16 << 20, 64):
         got = {}
         for r in topk.exact_top_k(df, F.col("vec_id") % 50 == 0, group_bytes=group_bytes).orderBy("query_id", "rank").collect():
@@ -259,8 +250,8 @@ def test_sampling_runs_out_and_is_seeded_by_key():
     assert {tuple(x[2]) for x in got} == set(few) and all(x[5] == 0.0 for x in got)
     texts = ["some words here", "ünïcode ☃ ▁ x\n\ny", "", "  two  spaces ", "some words here"]
     a, b = draw(texts, 2, [1, 2, 3, 4, 1]), draw(texts[::-1], 2, [1, 4, 3, 2, 1])
-    assert [x[1:] for x in a if x[0] == 1] == [x[1:] for x in b if x[0] == 3]
-    assert [x[1:] for x in a if x[0] == 0] == [x[1:] for x in a if x[0] == 4]
+    plain = lambda rows, r: [[y.tolist() if isinstance(y, np.ndarray) else y for y in x[1:]] for x in rows if x[0] == r]
+    assert plain(a, 1) == plain(b, 3) and plain(a, 0) == plain(a, 4)
     assert all(x[6] for x in a) and pieces.decode([x[2] for x in a if x[1] == 0]) == texts
 
 
