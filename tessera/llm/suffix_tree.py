@@ -59,8 +59,12 @@ MIN_COUNT = 2
 BUCKET_TOKENS = 2_000_000
 _U = np.uint64
 _GRAM, _WORD, _TOKENS = 0, 1, 2
+#: Buckets of branches for each bucket of words.
+BRANCHES = 2
+#: Bytes of texts scored together: the more, the fewer of their grams are distinct.
+SCORED_BYTES = 1 << 21
 #: Gram counts that a task holds at a time.
-_FLUSH = 1 << 20
+_FLUSH = 1 << 21
 
 
 def _mask(size: int) -> np.uint64:
@@ -152,16 +156,34 @@ def _bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
     return ((_text.mix(x) >> _U(20)) % _U(buckets)).astype(np.int64)
 
 
+def _squeezed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending keys as differences, and counts, byte plane by byte plane, compressed."""
+    step = np.diff(keys, prepend=_U(0))
+    planes = [step.view(np.uint8).reshape(-1, 8).T, counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T]
+    raw = np.concatenate(planes).tobytes()
+    return len(keys).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _expanded(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[8:], 12 * n, asbytes=True), np.uint8).reshape(12, n)
+    step, counts = (np.ascontiguousarray(x.T).view(t).reshape(-1) for x, t in ((planes[:8], _U), (planes[8:], np.uint32)))
+    return np.cumsum(step, dtype=_U), counts
+
+
 def _packed_grams(keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A row of grams and counts for each bucket."""
-    branch = (keys >> _U(8)) & _mask(TRUNK)
-    at, which = np.unique(branch, return_inverse=True)
-    bucket = _bucket_of(at, buckets)[which]
-    order = np.argsort(bucket, kind="stable")
-    keys, counts = keys[order], counts[order].astype(np.uint32)
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    """A row of grams and counts for each bucket of branches; these follow the buckets of words."""
+    bucket = _branch_bucket(keys, buckets)
+    order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 15 else bucket, kind="stable")
+    keys, counts = keys[order], counts[order]
+    cut = np.searchsorted(bucket[order], np.arange(BRANCHES * buckets + 1))
     some = np.flatnonzero(np.diff(cut)).tolist()
-    return _bucket_rows([(b, _BRANCH, keys[cut[b] : cut[b + 1]].tobytes(), b"", counts[cut[b] : cut[b + 1]].tobytes()) for b in some])
+    return _bucket_rows([(buckets + b, _BRANCH, _squeezed(keys[cut[b] : cut[b + 1]], counts[cut[b] : cut[b + 1]]), b"", b"") for b in some])
+
+
+def _branch_bucket(g: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of the branch of each gram."""
+    return _bucket_of((g >> _U(8)) & _mask(TRUNK), BRANCHES * buckets)
 
 
 def _bucket_rows(rows: list[tuple[int, int, bytes, bytes, bytes]]) -> pa.RecordBatch:
@@ -230,12 +252,25 @@ def _joined(table: pa.Table, name: str, dtype, kind: int | None = None) -> np.nd
     return np.frombuffer(b"".join(column.to_pylist()), dtype)
 
 
+def _partial(bucket: int, rows: list[tuple[int, int, bytes, bytes, bytes, int]]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [[]] * 6
+    return pa.table(
+        [pa.array(cols[0], pa.int32()), pa.array([bucket] * len(rows), pa.int32()), pa.array(cols[1], pa.int32()), *[pa.array(x, pa.binary()) for x in cols[2:5]], pa.array(cols[5], pa.int64())],
+        ["kind", "bucket", "part", "id", "s", "known", "n"],
+    )
+
+
 def _settler(parts: int, trunk, rule: tuple[float, float, int]):
     """A bucket: log10(c + 1) of its rare words summed for each text, packed by part of the texts; counts
-    of frequent words; number of distinct training words; its branches of the tree."""
+    of frequent words; number of distinct training words. Or, of the buckets behind those of words, the
+    branches of the tree."""
 
     def settle(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
+        if bucket >= parts:
+            found = [_expanded(x) for x in table.column("hash").to_pylist()]
+            grown = grow(*_merge([(k, n.astype(np.int64)) for k, n in found]), trunk.value, *rule)
+            return _partial(bucket - parts, [(_TREE, name, k.tobytes(), v.astype(np.float32).tobytes(), b"", len(k)) for name, (k, v) in grown.items() if len(k)])
         h, row = _joined(table, "hash", _U, _RARE), _joined(table, "row", np.int64, _RARE)
         n = _joined(table, "n", np.int32, _RARE).astype(np.int64)
         _, word = np.unique(h, return_inverse=True)
@@ -253,15 +288,7 @@ def _settler(parts: int, trunk, rule: tuple[float, float, int]):
         if len(fh):
             out.append((_LISTED, 0, fh.tobytes(), b"", fn.astype(np.int64).tobytes(), len(fh)))
         out.append((_DISTINCT, 0, b"", b"", b"", int((c > 0).sum())))
-        keys = _joined(table, "hash", _U, _BRANCH)
-        if len(keys):
-            grown = grow(*_merge([(keys, _joined(table, "n", np.uint32, _BRANCH).astype(np.int64))]), trunk.value, *rule)
-            out += [(_TREE, name, k.tobytes(), v.astype(np.float32).tobytes(), b"", len(k)) for name, (k, v) in grown.items() if len(k)]
-        cols = list(zip(*out, strict=True))
-        return pa.table(
-            [pa.array(cols[0], pa.int32()), pa.array([bucket] * len(out), pa.int32()), pa.array(cols[1], pa.int32()), *[pa.array(x, pa.binary()) for x in cols[2:5]], pa.array(cols[5], pa.int64())],
-            ["kind", "bucket", "part", "id", "s", "known", "n"],
-        )
+        return _partial(bucket, out)
 
     return settle
 
@@ -446,13 +473,20 @@ def _tree_scores(scorer: Scorer, chosen: np.ndarray | None, c: _text.Chunk) -> n
     g, first = _grams(c)
     if not len(first):
         return np.zeros(0)
-    if chosen is None:
-        p = scorer.log_p(g)
-    else:
-        p = np.zeros(len(g))
-        mine = np.flatnonzero(chosen[_bucket_of((g >> _U(8)) & _mask(TRUNK), len(chosen))])
-        p[mine] = scorer.log_p(g[mine])
-    return np.add.reduceat(p, first)
+    # Places sorted by a hash of their grams, both in one number: equal grams are next to each other, and
+    # a gram that shares its hash with another is looked up more than once at worst.
+    bits = _U(len(g).bit_length())
+    order = np.sort((g * _U(0x9E3779B97F4A7C15) >> bits << bits) | np.arange(len(g), dtype=_U))
+    order = (order & ((_U(1) << bits) - _U(1))).astype(np.int64)
+    sorted_ = g[order]
+    new = np.append(True, sorted_[1:] != sorted_[:-1])
+    distinct = sorted_[new]
+    p = np.zeros(len(distinct))
+    mine = slice(None) if chosen is None else np.flatnonzero(chosen[_branch_bucket(distinct, len(chosen) // BRANCHES)])
+    p[mine] = scorer.log_p(distinct[mine])
+    each = np.empty(len(g))
+    each[order] = p[np.cumsum(new) - 1]
+    return np.add.reduceat(each, first)
 
 
 def _scorer(sent, chosen, words):
@@ -466,7 +500,7 @@ def _scorer(sent, chosen, words):
             weight = np.log10(counts + 1.0)
         for batch in _text.batches(it):
             n_tokens, s, known, score = [], [], [], [np.zeros(0)]
-            for c in _text.chunks(batch.column(2)):
+            for c in _text.chunks(batch.column(2), SCORED_BYTES):
                 score.append(_tree_scores(scorer, chosen, c))
                 if words is None:
                     continue
@@ -555,8 +589,8 @@ def score_texts(
     for i, mine in enumerate(passes):
         found = branches.filter(F.col("bucket").between(mine[0], mine[-1])) if mine else branches.limit(0)
         sent = sc.broadcast(_tree_of(found.select("part", "id", "s").toArrow(), trunk))
-        chosen = np.zeros(buckets, bool)
-        chosen[(mine[0] if i else 0) : (passes[i + 1][0] if i + 1 < len(passes) else buckets)] = True
+        chosen = np.zeros(BRANCHES * buckets, bool)
+        chosen[(mine[0] if i else 0) : (passes[i + 1][0] if i + 1 < len(passes) else len(chosen))] = True
         chosen = None if len(passes) == 1 else chosen
         if not i:
             own = rows.mapInArrow(
