@@ -96,19 +96,37 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    known = ", ".join(f"'{s}'" for s in licenses.SENTENCES)
-    marks = "m"
-    for licence, rule in sorted(licenses.RULES, key=lambda r: -len(r[1])):
-        marks = f"replace({marks}, '{''.join(f'<{i}>' for i in rule)}', '[{licence}]')"
+    ids, rules = licenses.known()
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    all_known = ", ".join(quoted(s) for s in ids)
+    marks = "'<' || array_to_string(ids, '><') || '>'"
+    for licence, rule in rules:
+        if len(rule) > 1:
+            marks = f"regexp_replace({marks}, '{licenses.rule_pattern(rule)}', '[{licence}]', 'g')"
+    alone = ", ".join("null" if x is None else quoted(x) for x in licenses.single_sentence(rules)[1:])
+
+    def normal(text: str, ends: str) -> str:
+        cut = f"regexp_replace({text}, {quoted(ends)}, '\\1' || chr(10), 'g')"
+        plain = f"trim(translate(regexp_replace({cut}, '[^A-Za-z0-9\\n]+', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"
+        return f"list_filter(list_transform(regexp_split_to_array({plain}, ' ?\\n[ \\n]*'), lambda x: trim(x)), lambda x: x != '')"
+
+    bare = f"regexp_replace(replace(replace(coalesce(text, ''), '{licenses.TAG}:', '{licenses.TAG}'), chr(13), ''), {quoted(licenses._COMMENT)}, '\\1', 'g')"
+    joined = f"replace(regexp_replace({bare}, '\\n{{2,}}', '.' || chr(9), 'g'), chr(10), ' ')"
+    paragraphs = normal(joined, r"""([.!?;:])["')]*[ \t]+""")
     return rf"""
 with s as (
-  select doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)),
-    lambda x: trim(lower(regexp_replace(x, '[^A-Za-z0-9]+', ' ', 'g')))), lambda x: x != '') as s from documents),
-i as (select doc_id, len(s) as n_sentences, list_transform(s, lambda x: coalesce(list_position([{known}], x), 0)) as ids from s),
-m as (select *, '<' || array_to_string(ids, '><') || '>' as m from i),
-f as (select *, regexp_extract_all({marks}, '\[([^\]]+)\]', 1) as found from m)
-select doc_id, n_sentences, len(list_filter(ids, lambda x: x > 0)) as n_known, len(found) as n_matches,
-  array_to_string(list_sort(list_distinct(found)), ',') as licenses from f
+  select doc_id, {normal(f"replace(coalesce(text, ''), '{licenses.TAG}:', '{licenses.TAG}')", r"([.!?;:])[ \t\r]+")} as s,
+    list_filter({paragraphs}, lambda x: not regexp_matches(x, '{licenses._ENUMERATOR}')) as p from documents),
+i as (
+  select doc_id, len(s) as n_sentences,
+    unnest([s, p]) as x, unnest([1, 2]) as way from s),
+k as (select *, list_transform(x, lambda y: coalesce(list_position([{all_known}], regexp_replace(y, '{licenses.STATED}', 'licensed under ')), 0)) as ids from i),
+m as (select *, regexp_extract_all({marks}, '\[[^\]]+\]|<[0-9]+>', 0) as found from k),
+f as (
+  select *, list_filter(list_transform(found, lambda t: case when t[1] = '[' then t[2:-2] else [{alone}][cast(t[2:-2] as integer)] end), lambda t: t is not null) as named from m)
+select doc_id, any_value(n_sentences) as n_sentences, sum(case when way = 1 then len(list_filter(ids, lambda x: x > 0)) else 0 end)::bigint as n_known,
+  len(list_distinct(flatten(list(named)))) as n_matches, array_to_string(list_sort(list_distinct(flatten(list(named)))), ',') as licenses
+from f group by doc_id
 """
 
 
