@@ -138,3 +138,23 @@ def tree_scores(training, texts, gain, strength, depth=6, trunk=3, min_count=2):
             score += known[at]
         out.append(score)
     return out
+
+
+def near_matches(docs, items, window=10, near=8, slack=1):
+    """{(doc, item, start): most words in place} of windows that are near, but not whole, in a document."""
+    out = {}
+    for d, text in docs:
+        have = words(text, WORD, lower=True)
+        for i, item in items:
+            w = words(item, WORD, lower=True)
+            size = min(window, len(w))
+            for start in range(len(w) - size + 1) if size >= near else ():
+                most, whole = 0, False
+                for shift in range(-len(w), len(have) + 1):
+                    at = lambda k, by, s=shift: 0 <= s + k + by < len(have) and have[s + k + by] == w[k]  # noqa: E731, B023
+                    inside = range(start, start + size)
+                    most = max(most, sum(any(at(k, by) for by in range(-slack, slack + 1)) for k in inside))
+                    whole |= all(at(k, 0) for k in inside)
+                if most >= near and not whole:
+                    out[d, i, start] = most
+    return out

@@ -149,13 +149,25 @@ def test_contamination(spark, broadcast_rows):
     assert got == want and sum(w[1] > 0 for w in want.values()) >= 4
 
 
-def test_contamination_near_matches_and_empty_tables(spark):
+def test_near_matches(spark):
+    """Windows of ITEMS against a search of every place, for replaced, missing, added and moved words."""
+    first = ITEMS[0][1].split()
+    texts = [
+        " ".join([*first[:4], "q", *first[5:]]), " ".join(["x", *first[:6], "q", *first[6:]]), " ".join([*first[:5], *first[6:]]), ITEMS[0][1], " ".join(first[::-1]),
+        " ".join([*first[:2], "q", "q", "q", *first[5:]]), "w2 " * 30, " ".join([*first[:3], "q", *first[4:8], "zz", *first[9:]]), None, "", " ".join(first[1:9]), " ".join(["ab"] * 7 + ["no", "ab", "ab", "ab"]),
+    ]
+    for docs in (list(enumerate(texts)), [(0, texts[0])]):
+        got = {(r["doc_id"], r["item_id"], r["start"]): r["in_place"] for r in decontaminate.near_items(frame(spark, docs), spark.createDataFrame(ITEMS, "item_id long, text string")).collect()}
+        assert got == brute.near_matches(docs, ITEMS) and (0, 1, 0) in got
+
+
+def test_contamination_of_empty_tables(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = frame(spark, [(2, "x w1 w2 w3 w4 q w6 w7 w8 w9 w10 w11 w12"), (3, "w5 w5 w5")])
-    near = decontaminate.find_items(docs, items).near.collect()
-    assert {(r["doc_id"], r["item_id"], r["shift"]) for r in near} >= {(2, 1, 1)}
     for d, i in ((docs, items.limit(0)), (docs.limit(0), items)):
-        assert decontaminate.contamination(d, i).filter("contaminated").count() == 0
+        found = decontaminate.contamination(d, i).collect()
+        assert not any(r["contaminated"] for r in found) and len(found) == d.count()
+        assert decontaminate.near_items(d, i).count() == 0
 
 
 def test_remove_repeats(spark):
