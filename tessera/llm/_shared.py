@@ -42,8 +42,11 @@ BROADCAST_ROWS = 2_000_000
 
 
 def small(ids: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A table of ids, written and counted: to be broadcast while it has ``rows`` rows at most, so that a
-    join with it needn't move texts; beyond that joins with it are shuffled."""
+    """A table of ids (one column of 64-bit integers), written and counted: to be broadcast while it has
+    ``rows`` rows at most, 16 MB of ids, so that a join with it needn't move texts; beyond that joins with
+    it are shuffled."""
+    if [f.dataType.simpleString() for f in ids.schema.fields] != ["bigint"]:
+        raise ValueError("only a table of one column of 64-bit integers has a known size")
     table_, _ = keep(ids, name)
     return F.broadcast(table_) if table_.count() <= rows else table_
 

@@ -9,11 +9,16 @@ that share a passage of ``length`` words or more share an anchor.
    ways over all windows that have this anchor, as a run of window hashes. Windows which a smaller
    document of the same batch holds too are settled at once; of each other window only the smallest
    document of the batch goes on, so that a passage in very many documents sends one row for a batch.
-3. The runs meet by anchor, and each window finds the smallest document that holds it.
+3. The runs meet by anchor, and each window finds the smallest document that holds it. An anchor with
+   ``heavy_runs`` runs or more, such as a phrase in very many documents with different surroundings,
+   is not gathered: its windows meet by their own hashes, as a pre-aggregated minimum, which is joined
+   back to them.
 4. Adjacent and overlapping windows of a document join to maximal repeats, the words of which go.
 
 Matches are never formed as pairs of documents: a window is compared with the smallest holder of its
-word sequence, which decides what is removed. Windows are known by a 64-bit hash of 50 word hashes.
+word sequence, which decides what is removed. A window is known by its anchor and a 64-bit hash of its
+50 word hashes, so that two different ones would have to agree in 128 bits to be taken for equal (in 64
+bits within one Arrow batch, which is settled by itself).
 
 Words are runs of bytes other than white space. Null texts have no words. Rows without an id, and
 documents of fewer words than a window, keep all words. Rows that repeat an id don't repeat each
@@ -32,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _text
-from tessera.llm._shared import keep
+from tessera.llm._shared import keep, small
 
 LENGTH, ANCHOR = 50, 20
 _CLEAN, _TEXT, _RUN, _SPAN = 0, 1, 2, 3
@@ -125,11 +130,13 @@ def _extender(length: int, anchor: int, digest: bool):
     return extend
 
 
-def _least(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each window the smallest document that has its hash."""
-    order = np.lexsort((doc, h))
+def _least(h: np.ndarray, doc: np.ndarray, anchor: np.ndarray | None = None) -> np.ndarray:
+    """For each window the smallest document that has its hash, and its anchor if that is given."""
+    order = np.lexsort((doc, h) if anchor is None else (doc, h, anchor))
     new = np.ones(len(h), bool)
     new[1:] = h[order][1:] != h[order][:-1]
+    if anchor is not None:
+        new[1:] |= anchor[order][1:] != anchor[order][:-1]
     group = np.cumsum(new) - 1
     out = np.empty(len(h), doc.dtype)
     out[order] = doc[order][new][group]
@@ -182,7 +189,7 @@ def _meeter(length: int):
         h = lists.flatten().to_numpy(zero_copy_only=False)
         doc = np.repeat(rows.column("doc_id").to_numpy(), sizes)
         start = np.repeat(rows.column("first").to_numpy(), sizes) + np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        gone = doc > _least(h, doc)
+        gone = doc > _least(h, doc, np.repeat(rows.column("anchor").to_numpy(), sizes))
         for b in _spans(doc[gone], start[gone], length):
             yield b.select(["doc_id", "first", "last"])
 
@@ -232,8 +239,16 @@ def _remover(digest: bool):
     return remove
 
 
+def _heavy_spans(runs: DataFrame, heavy: DataFrame, length: int) -> DataFrame:
+    """Windows of heavy anchors that a smaller document holds, as spans."""
+    windows = runs.join(heavy, "anchor").select("anchor", "doc_id", "first", F.posexplode("hashes").alias("i", "h"))
+    least = windows.groupBy("anchor", "h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least != most")
+    start = (F.col("first") + F.col("i")).cast("int")
+    return windows.join(least.drop("most"), ["anchor", "h"]).filter("doc_id > least").select("doc_id", start.alias("first"), (start + length - 1).alias("last"))
+
+
 def remove_repeats(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, digest: bool = False
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, digest: bool = False, heavy_runs: int = 2000
 ) -> DataFrame:
     """doc_id, n_words, n_removed, kept: kept words joined by one space, or the SHA-256 of that in
     hexadecimal with ``digest``."""
@@ -247,8 +262,10 @@ def remove_repeats(
     parts, _ = keep(joined.mapInArrow(_extender(length, anchor, digest), _SCHEMA), "extended")
 
     runs = parts.filter(F.col("kind") == _RUN).select("anchor", "doc_id", "first", "hashes")
-    met_runs = runs.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_meeter(length), "doc_id long, first int, last int")
-    spans = parts.filter(F.col("kind") == _SPAN).select("doc_id", "first", "last").union(met_runs)
+    heavy = small(runs.groupBy("anchor").count().filter(F.col("count") >= heavy_runs).select("anchor"), "heavy-anchors")
+    light = runs.join(heavy, "anchor", "left_anti")
+    met_runs = light.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_meeter(length), "doc_id long, first int, last int")
+    spans = parts.filter(F.col("kind") == _SPAN).select("doc_id", "first", "last").union(met_runs).union(_heavy_spans(runs, heavy, length))
     by_doc = spans.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     touched = parts.filter(F.col("kind") == _TEXT).select("doc_id", "text")
     cut = (

@@ -175,6 +175,8 @@ def test_remove_repeats(spark):
     want = brute.remove_repeats(docs)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substrings.remove_repeats(frame(spark, docs)).collect()}
     assert got == want and sum(w[1] > 0 for w in want.values()) > 5
+    heavy = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substrings.remove_repeats(frame(spark, docs), heavy_runs=2).collect()}
+    assert heavy == want
     digests = {r["doc_id"]: r["kept"] for r in substrings.remove_repeats(frame(spark, docs), digest=True).collect()}
     assert digests == {d: hashlib.sha256(w[2].encode()).hexdigest() for d, w in want.items()}
 
@@ -186,6 +188,70 @@ def test_remove_repeats_odd_rows(spark):
     assert got == [(-1, 0), (5, 0), (5, 0), (6, 60)]
 
 
+def test_small_tables_and_large_ones_join_alike(spark):
+    from tessera.llm._shared import small
+
+    ids = spark.createDataFrame([(1,), (2,)], "i long")
+    for rows in (2, 1):
+        kept = small(ids, "ids", rows)
+        assert sorted(r[0] for r in spark.range(5).join(kept, F.col("id") == F.col("i"), "left_anti").collect()) == [0, 3, 4]
+    with pytest.raises(ValueError):
+        small(spark.createDataFrame([("x",)], "i string"), "texts")
+
+
+CLASHES = "doc_id long, text string, keep string, n_dropped int, n_lines string, _line_doc string, line_keep int, LINE_DOC int, score string, log_weight string, n_features string, kept string, sampled string, gumbel_key string, n_hit int, rep int, component_id string"
+
+
+def test_columns_of_clashing_names(spark):
+    """Every operator over documents with columns named as its own, and stages that return them."""
+    import corpus_pipeline
+    from tessera.llm import importance, pieces, suffix_tree
+
+    docs = corpus(12) + [(None, "no id"), (3, "again"), (3, "again")]
+    fields = CLASHES.count(",") - 1
+    df = spark.createDataFrame([(d, t, *[None] * fields) for d, t in docs], CLASHES).repartition(2)
+    plain = df.select("doc_id", "text")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    model = importance.fit(plain, labels)
+    rows = lambda x: sorted(map(str, x.collect()))
+    out = lines.dedup_lines(df)
+    assert rows(out.select("doc_id", "text", "n_lines", "n_dropped")) == rows(lines.dedup_lines(plain)) and "keep" in out.columns
+    scored, alone = (importance.resample(importance.score_documents(x, model), model) for x in (df, plain))
+    assert rows(scored.select(*alone.columns)) == rows(alone) and len(set(scored.columns)) == len(scored.columns)
+    good = importance.keep_good(df, labels)
+    assert good.columns == df.columns and rows(good.select("doc_id", "text")) == rows(importance.keep_good(plain, labels))
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for f in (minhash.near_duplicates, substrings.remove_repeats, licenses.recognise, suffix_tree.score_texts, pieces.sample_segmentations, lambda x: decontaminate.contamination(x, items)):
+        assert rows(f(df)) == rows(f(plain))
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        if name != "benchmark_decontamination":
+            got = stage(spark, df.withColumn("n_chars", F.length("text")), "")
+            assert got.columns == [*df.columns, "n_chars"] and got.count() > 0
+
+
+def test_texts_longer_than_a_chunk(spark):
+    """A text of over 1 MB, handled whole, by the operators that read texts in chunks."""
+    from tessera.llm import _text, importance, pieces, suffix_tree
+
+    rng = random.Random(7)
+    long = " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(200_000))
+    assert len(long) > _text.CHUNK_BYTES and len(long) > pieces.CHUNK
+    tail = long[len(long) // 2 :].split(" ", 1)[1]
+    docs = [(0, long), (1, "head of its own " + long), (2, tail), (3, "x" * 1_200_000), (4, "short")]
+    df = frame(spark, docs)
+    near = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect()}
+    assert near == brute.components(docs)
+    cut = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substrings.remove_repeats(df, digest=True).collect()}
+    assert cut == {0: (200_000, 0), 1: (200_004, 200_000), 2: (len(tail.split()), len(tail.split())), 3: (1, 0), 4: (1, 0)}
+    features = {r["doc_id"]: r["n_features"] for r in importance.score_documents(df.select("doc_id", "text"), importance.Model(np.ones(importance.BUCKETS))).collect()}
+    assert features == {d: 2 * len(t.split()) for d, t in docs}
+    scores = {r["doc_id"]: (r["n_tokens"], r["score"]) for r in suffix_tree.score_texts(df).collect()}
+    assert {d: s[0] for d, s in scores.items()} == {d: len(t.split()) + 1 for d, t in docs} and all(s[1] < 0 for s in scores.values())
+    drawn = pieces.sample_segmentations(df.filter("doc_id in (0, 3)"), k=1).collect()
+    assert len(drawn) == 2 and all(r["round_trip"] for r in drawn)
+    assert all(len(p) <= 2 * _text.CHUNK_BYTES for p in _text._POWERS)
+
+
 def test_sliding_minimum():
     x = np.random.default_rng(0).integers(0, 1000, 100)
     for w in (1, 2, 31, 100, 101):
