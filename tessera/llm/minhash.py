@@ -333,14 +333,20 @@ def near_duplicates(
     sorted_ = sorted_.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     rest, _ = keep(sorted_.mapInArrow(_across(coarse, fine_share), "a long, b long"), "rest-pairs")
     second, _ = keep(_confirmed(rest, docs, percent), "rest-links")
-    found = components(first.union(second))
+    # Links found later join whole components.
+    one, two = (after.select(F.col("node").alias(f"_{x}"), F.col("component").alias(f"in_{x}")) for x in "ab")
+    bridges = second.join(one, F.col("a") == F.col("_a"), "left").join(two, F.col("b") == F.col("_b"), "left")
+    more = components(bridges.select(F.coalesce("in_a", "a").alias("a"), F.coalesce("in_b", "b").alias("b")))
+    more = more.select(F.col("node").alias("part"), F.col("component").alias("whole"))
     discard(spark, crowded_path)
 
     out = base.select("doc_id", "n_shingles").join(member, "doc_id", "left")
     own_class = F.coalesce("rep", "doc_id")
     return (
         out.withColumn("rep", own_class)
-        .join(found, F.col("rep") == F.col("node"), "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+        .join(after, F.col("rep") == F.col("node"), "left")
+        .withColumn("part_of", F.coalesce("component", "rep"))
+        .join(more, F.col("part_of") == F.col("part"), "left")
+        .select("doc_id", "n_shingles", F.coalesce("whole", "part_of").alias("component_id"))
         .withColumn("kept", F.col("doc_id") == F.col("component_id"))
     )

@@ -109,6 +109,18 @@ def test_components_of_a_path_and_a_star(spark):
     assert components.components(links.limit(0)).count() == 0
 
 
+def test_components_of_random_graphs(spark):
+    rng = random.Random(9)
+    for n, m in ((40, 25), (60, 70)):
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(100, 100 + i) for i in range(1, 20)] + [(300 - i, 300) for i in range(1, 20)]
+        up = {x: x for p in pairs for x in p}
+        for _ in up:
+            for a, b in pairs:
+                up[a] = up[b] = min(up[a], up[b])
+        got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+        assert got == up
+
+
 @pytest.mark.parametrize("heavy_rows", [3, 2000])
 def test_line_dedup(spark, heavy_rows):
     docs = corpus(seed=2)
