@@ -1,4 +1,4 @@
-"""Command line: ``python -m tessera.cli extract|ingest|analyse|merge ...``."""
+"""Command line: ``python -m tessera.cli extract|ingest|analyse ...``."""
 
 from __future__ import annotations
 

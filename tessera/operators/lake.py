@@ -205,7 +205,8 @@ class StructureLake:
         """mmCIF texts of rows, written to ``out_dir`` or returned with ``as_str``.
 
         Rows come as ``df`` (file names from ``file_name_cols``) or as addresses with ``file_names``.
-        Files that exist stay unless ``overwrite``; rows that fail have an error and no file.
+        Files that exist stay unless ``overwrite``; rows that fail have an error and no file. Each task
+        writes its own files, so that on a cluster ``out_dir`` must be a folder that all executors see.
         """
         lists = [bcif_shard, bcif_data_off, bcif_len, file_names]
         if out_dir is None and not as_str:
@@ -245,11 +246,14 @@ class StructureLake:
                     out.append({"file_name": r["file_name"], "cif": cif if as_str else None, "error": error})
                 yield pa.RecordBatch.from_pylist(out, pa.schema([("file_name", pa.string()), ("cif", pa.string()), ("error", pa.string())]))
 
-        made = rows.mapInArrow(convert, "file_name string, cif string, error string").collect()
+        made = rows.mapInArrow(convert, "file_name string, cif string, error string")
         if as_str:
-            texts = [r["cif"] for r in made]
+            texts = [r["cif"] for r in made.collect()]
             return texts[0] if len(texts) == 1 else texts
-        return self.spark.createDataFrame(made, "file_name string, cif string, error string").select("file_name", "error")
+        # The files are written now, by the tasks; what became of each is kept with them.
+        done = made.select("file_name", "error").persist()
+        done.count()
+        return done
 
     def dump_cif(self, keys: Mapping[str, Any] | None = None, path: str = "dump.cif", seed: int | None = None) -> str:
         """Write one structure as mmCIF: the first row with these values, or with ``seed`` a random one.
@@ -412,9 +416,10 @@ class LakeWriter:
     def finalize(self) -> None:
         self.flush()
 
-    def append(self, df: DataFrame, payload: str = "payload", form: str = "bcif", heavy: str | None = None) -> int:
+    def append(self, df: DataFrame, payload: str = "payload", form: str = "bcif", heavy: str | None = None, operation: str = "append") -> int:
         """Store a DataFrame of structures: each task writes packs of its own and returns addresses,
-        which become the table's new rows. ``heavy`` names a column of JSON objects."""
+        which become the table's new rows. ``heavy`` names a column of JSON objects. The writer's
+        serializers change each row's user columns and heavy object. ``operation`` names the commit."""
         c, schema, shards = self.config, self.schema, self.lake.shards
         arrow = [f.name for f in schema.fields]
 
@@ -424,9 +429,14 @@ class LakeWriter:
                 out = []
                 for r in batch.to_pylist():
                     data = encode_structure(r[payload], form, c.rtol, c.atol)
-                    row = {n: r.get(n) for n in arrow} | _address("bcif", main.append(data))
+                    light = {f.name: r.get(f.name) for f in c.user_schema.fields}
+                    light = c.light_serializer(light) if c.light_serializer else light
+                    row = {n: r.get(n) for n in arrow} | {k: v for k, v in light.items() if k in arrow} | _address("bcif", main.append(data))
                     if c.write_json_shards:
-                        packed = None if heavy is None or r[heavy] is None else encode_heavy(json.loads(r[heavy]), c.zstd_level)
+                        packed = None
+                        if heavy is not None and r[heavy] is not None:
+                            more = json.loads(r[heavy])
+                            packed = encode_heavy(c.heavy_serializer(more) if c.heavy_serializer else more, c.zstd_level)
                         row |= _address("json", side.append(packed) if packed is not None else None)
                     digest = hashlib.sha256(data)
                     row |= {"id": digest.digest(), "id_hex": digest.hexdigest()}
@@ -438,7 +448,7 @@ class LakeWriter:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         to_arrow = to_arrow_schema(schema)
-        return self.lake.log.append(df.mapInArrow(store, schema))
+        return self.lake.log.append(df.mapInArrow(store, schema), operation=operation)
 
     def row_count(self) -> int:
         return self.lake.nrow()

@@ -38,36 +38,62 @@ def single_design(predictions: DataFrame, design_id: str, on: str = "name") -> D
     return predictions.select(on).distinct().withColumn("design_id", F.lit(design_id))
 
 
+def _place(design: DataFrame, prediction: DataFrame) -> list[str]:
+    """The columns that tell an atom's place."""
+    coded = ["ins_code"] if "ins_code" in design.columns and "ins_code" in prediction.columns else []
+    return ["pair_id", "chain_id", "res_id", *coded, "atom_name"]
+
+
+def without_new_oxygen(design: DataFrame, prediction: DataFrame) -> DataFrame:
+    """The prediction's atoms without terminal oxygens where the design has none at all."""
+    ending = design.filter("atom_name = 'OXT'").select("pair_id").distinct()
+    return prediction.filter("atom_name != 'OXT'").unionByName(prediction.filter("atom_name = 'OXT'").join(ending, "pair_id", "left_semi").select(*prediction.columns))
+
+
+def mismatched(design: DataFrame, prediction: DataFrame) -> DataFrame:
+    """pair_id of the pairs in which an atom of one side's polymer has no counterpart on the other, or a
+    CA atom's residue has another name there."""
+    place = _place(design, prediction)
+    one, two = (df.filter("not hetero").select(*place, F.col("res_name").alias(n)) for df, n in ((design, "one"), (prediction, "two")))
+    differs = F.col("one").isNull() | F.col("two").isNull() | (F.col("atom_name") == "CA") & (F.col("one") != F.col("two"))
+    return one.join(two, place, "full_outer").filter(differs).select("pair_id").distinct()
+
+
 def aligned(design: DataFrame, prediction: DataFrame, ignore_missing_oxygen: bool = True) -> DataFrame:
-    """Corresponding atoms of each pair: same chain, residue number and atom name, in design order;
-    terminal oxygens that the design lacks drop out, with their confidences."""
-    place = ["pair_id", "chain_id", "res_id", "atom_name"]
+    """Corresponding atoms of each pair: same chain, residue number, insertion code (if both sides have
+    that column) and atom name, in design order; terminal oxygens that the design lacks drop out, with
+    their confidences."""
+    place = _place(design, prediction)
     one = design.groupBy(*place).agg(F.min("atom_idx").alias("atom_idx"), *[F.min_by(c, "atom_idx").alias(c) for c in ("res_name", "hetero", "x", "y", "z")])
     two = prediction.groupBy(*place).agg(*[F.min_by(c, "atom_idx").alias(n) for c, n in (("res_name", "m_res_name"), ("x", "mx"), ("y", "my"), ("z", "mz"), ("b_factor", "plddt"))])
     return one.join(two, place)
 
 
-def base_metrics(pairs: DataFrame, seq_mismatch: bool = False, ignore_missing: bool = True) -> DataFrame:
+def base_metrics(design: DataFrame, prediction: DataFrame, pairs: DataFrame, seq_mismatch: bool = False, ignore_missing: bool = True) -> DataFrame:
     """pLDDT_CA, pLDDT_AA, RMSD_CA, RMSD_AA, pLDDT_SC_around_lig, RMSD_SC_around_lig for each pair.
 
-    Pairs whose sequences differ are left out unless ``seq_mismatch``; then side chains count only
-    where residues agree.
+    Distances are between corresponding atoms (``pairs``). Means of confidences are over all of the
+    prediction's atoms, with or without a counterpart, and the neighbourhood of ligands is the design's.
+    Pairs whose polymers differ in their atoms are left out unless ``seq_mismatch``; then side chains
+    are compared only where residues agree.
     """
-    differs = F.count_if(~F.col("hetero") & (F.col("atom_name") == "CA") & (F.col("res_name") != F.col("m_res_name")))
-    same = pairs.groupBy("pair_id").agg(differs.alias("n")).filter("n = 0").select("pair_id")
-    pairs = pairs if seq_mismatch else pairs.join(same, "pair_id", "left_semi")
+    if not seq_mismatch:
+        other = mismatched(design, prediction)
+        design, prediction, pairs = (df.join(other, "pair_id", "left_anti") for df in (design, prediction, pairs))
     ca = (F.col("atom_name") == "CA") & ~F.col("hetero")
     fitted = g.superpose(pairs, ca)
-    plddt = pairs.groupBy("pair_id").agg(F.avg(F.when(F.col("atom_name") == "CA", F.col("plddt"))).alias("pLDDT_CA"), F.avg("plddt").alias("pLDDT_AA"))
+    plddt = prediction.groupBy("pair_id").agg(F.avg(F.when(F.col("atom_name") == "CA", F.col("b_factor"))).alias("pLDDT_CA"), F.avg("b_factor").alias("pLDDT_AA"))
     polymer = fitted.filter("not hetero")
     comparable = polymer.filter((F.col("res_name") == F.col("m_res_name")) | F.col("atom_name").isin(*g.BACKBONE))
     out = plddt.join(g.rmsd(fitted, ca, "RMSD_CA"), "pair_id", "left")
     out = out.join(g.automorphic_rmsd(comparable, name="RMSD_AA", ignore_missing=ignore_missing), "pair_id", "left")
-    near = g.near_hetero(pairs, struct="pair_id")
-    residues = g.expand_to_residues(pairs.filter("not hetero"), near, ("pair_id", "chain_id", "res_id"))
+    residue = ("pair_id", "chain_id", "res_id")
+    near = g.near_hetero(design, struct="pair_id").select(*residue).distinct()
+    residues = g.expand_to_residues(pairs.filter("not hetero"), near, residue)
+    predicted = g.side_chains(g.expand_to_residues(prediction.filter("not hetero"), near, residue))
     around = g.side_chains(residues).filter(F.col("res_name") == F.col("m_res_name"))
     refitted = g.superpose(around, F.lit(True))
-    out = out.join(around.groupBy("pair_id").agg(F.avg("plddt").alias("pLDDT_SC_around_lig")), "pair_id", "left")
+    out = out.join(predicted.groupBy("pair_id").agg(F.avg("b_factor").alias("pLDDT_SC_around_lig")), "pair_id", "left")
     return out.join(g.automorphic_rmsd(refitted, name="RMSD_SC_around_lig", ignore_missing=True), "pair_id", "left")
 
 
@@ -103,8 +129,9 @@ def analyse(
     design = prepare(design_atoms, ncaa).join(keys.withColumnRenamed("design_id", "struct_id").drop("id_hex"), "struct_id").drop("struct_id")
     mine = names.rename_residue_atoms(names.rename_residues(prediction_atoms, rename_residues), rename_atoms)
     prediction = prepare(mine, ncaa).join(keys.withColumnRenamed("id_hex", "struct_id").drop("design_id"), "struct_id").drop("struct_id")
+    prediction = without_new_oxygen(design, prediction)
     pairs = aligned(design, prediction)
-    out = keys.select("pair_id", "id_hex").join(base_metrics(pairs, seq_mismatch), "pair_id").join(ligand_plddt(prediction), "pair_id", "left")
+    out = keys.select("pair_id", "id_hex").join(base_metrics(design, prediction, pairs, seq_mismatch), "pair_id").join(ligand_plddt(prediction), "pair_id", "left")
     if functions:
         ca = (F.col("atom_name") == "CA") & ~F.col("hetero")
         moved = g.superpose(pairs, ca)

@@ -42,7 +42,10 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _scratch(spark: SparkSession) -> str:
     """A folder that driver and executors share, for queries that write a table."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    shared = shared or tempfile.gettempdir()
     return f"{shared.rstrip('/').removeprefix('file://')}/tessera-{uuid.uuid4().hex}"
 
 
@@ -57,9 +60,9 @@ def q01_scan_project(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
 
 
-@_query("select o_orderkey, o_custkey, o_totalprice from orders where o_orderstatus = 'P' and o_custkey < 100")
+@_query("select o_orderkey, o_custkey, o_totalprice from orders where o_orderstatus = 'P' and o_totalprice > 100000")
 def q02_filter_project(spark, sf_dir):
-    return _t(spark, sf_dir, "orders").filter((F.col("o_orderstatus") == "P") & (F.col("o_custkey") < 100)).select("o_orderkey", "o_custkey", "o_totalprice")
+    return _t(spark, sf_dir, "orders").filter((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 100000)).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 _EXPECTED = "select distinct l_orderkey * 2 as o_orderkey from lineitem"
@@ -196,12 +199,12 @@ def q18_design_join(spark, sf_dir):
 
 
 @_query(
-    "with s as (select l_orderkey, count(*) as n_lines, round(sum(l_quantity), 2) as o_totalprice from lineitem where l_orderkey % 3 = 0 group by l_orderkey) "
+    "with s as (select l_orderkey, count(*) as n_lines, round(sum(l_quantity), 2) as o_totalprice from lineitem where l_returnflag = 'R' group by l_orderkey) "
     "select o_orderkey, o_custkey, case when s.l_orderkey is not null then s.o_totalprice else o.o_totalprice end as o_totalprice, n_lines "
     "from orders o left join s on s.l_orderkey = o.o_orderkey"
 )
 def q19_merge_update(spark, sf_dir):
-    source = _t(spark, sf_dir, "lineitem").filter("l_orderkey % 3 = 0").groupBy(F.col("l_orderkey").alias("o_orderkey"))
+    source = _t(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey"))
     source = source.agg(F.count("*").alias("n_lines"), F.round(F.sum("l_quantity"), 2).alias("o_totalprice"))
     return tables.merge_update(_t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), source, "o_orderkey")
 

@@ -2,8 +2,8 @@
 
 A batch is written below ``spool/incoming``, synced, and renamed to ``spool/ready`` in one step. Each
 entry is one JSON file that holds everything, so the file source of Structured Streaming takes it
-exactly once: the checkpoint moves on only after the lake's commit, and an entry whose batch was
-committed before a crash is recognised by the batch number in the table.
+exactly once: the checkpoint moves on only after the lake's commit, and a batch that was committed before
+a crash is recognised by the stream's id and the batch number, which the commit itself carries.
 """
 
 from __future__ import annotations
@@ -92,23 +92,30 @@ class SpoolIngester:
         self.source, self.checkpoint, self.writer = os.path.join(lake, "spool", "ready"), os.path.join(lake, "spool", "_checkpoint"), writer
         self.ingested = 0
 
-    def _store(self, df: DataFrame, epoch: int) -> None:
+    def _committed(self, stream: str, epoch: int) -> bool:
+        """Whether the table has this batch of the stream: its commits carry the stream's id and batch
+        number, which ascend."""
         log = self.writer.lake.log
-        mark = f"spool-{epoch}"
-        done = self.writer.lake.path + f"/spool/_done/{mark}"
-        version = log.version()
-        if os.path.exists(done) or any(log._read(v)["operation"] == mark for v in range(max(0, version - 20), version + 1)):
+        for v in reversed(log.versions()):
+            kind, _, rest = log._read(v)["operation"].partition(" ")
+            if kind == "spool":
+                of, _, number = rest.rpartition(" ")
+                if of == stream and int(number) <= epoch:
+                    return int(number) == epoch
+        return False
+
+    def _store(self, df: DataFrame, epoch: int) -> None:
+        with open(os.path.join(self.checkpoint, "metadata")) as f:
+            stream = json.load(f)["id"]
+        if self._committed(stream, epoch):
             return
         user = self.writer.config.user_schema
         light = F.from_json("light", T.StructType([T.StructField(f.name, f.dataType) for f in user.fields]))
         rows = df.withColumn("l", light).select("pdb", "heavy", *[F.col(f"l.{f.name}") for f in user.fields]).persist()
         n = rows.count()
         if n:
-            self.writer.append(rows, payload="pdb", form="pdb", heavy="heavy")
+            self.writer.append(rows, payload="pdb", form="pdb", heavy="heavy", operation=f"spool {stream} {epoch}")
         rows.unpersist()
-        os.makedirs(os.path.dirname(done), exist_ok=True)
-        with open(done, "w"):
-            pass
         self.ingested += n
 
     def _stream(self):  # noqa: ANN202

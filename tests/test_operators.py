@@ -167,6 +167,32 @@ def inputs(spark):
     return d, p, designs, predictions, frame(spark, {"D1": d, "D2": two}), frame(spark, {"P1": p, "P2": make(), "P3": d})
 
 
+def test_analysis_of_atoms_without_counterparts(spark):
+    """A residue less, a ligand atom of another name, a terminal oxygen more, an inserted residue."""
+    d = make()
+    only = lambda atoms, f: {k: [v for v, *at in zip(atoms[k], atoms["res_id"], atoms["atom_name"], atoms["hetero"], strict=True) if f(*at)] for k in atoms}
+    shorter = only(d, lambda r, a, h: r != 6 or h)
+    renamed = d | {"atom_name": ["C9" if a == "C1" else a for a in d["atom_name"]]}
+    ends = {k: [*v, {"atom_name": "OXT", "element": "O", "res_id": 6, "res_name": "ALA", "chain_id": "A", "hetero": False, "ins_code": "", "b_factor": 1.0}.get(k, 0.0)] for k, v in d.items()}
+    names_ = ["shorter", "renamed", "ends"]
+    designs = spark.createDataFrame([(n, "D") for n in names_], "name string, design_id string")
+    predictions = spark.createDataFrame([(n, n, 0, 1) for n in names_], "id_hex string, name string, sample int, seed int")
+    atoms = frame(spark, {"shorter": shorter, "renamed": renamed, "ends": ends})
+    got = {r["id_hex"]: r for r in analysis.analyse(predictions, designs, atoms, frame(spark, {"D": d})).collect()}
+    assert set(got) == {"renamed", "ends"}
+    assert got["renamed"]["pLDDT_AA"] == pytest.approx(np.mean(d["b_factor"])) and got["ends"]["pLDDT_AA"] == pytest.approx(np.mean(d["b_factor"]))
+    h = np.array(d["hetero"])
+    close = (np.linalg.norm(xyz(d)[:, None] - xyz(d)[h][None], axis=2).min(axis=1) <= g.RADIUS) & ~h
+    residues = {(c, r) for c, r, x in zip(d["chain_id"], d["res_id"], close, strict=True) if x}
+    side = [b for b, c, r, x, a in zip(d["b_factor"], d["chain_id"], d["res_id"], h, d["atom_name"], strict=True) if not x and (c, r) in residues and a not in g.BACKBONE]
+    assert got["renamed"]["pLDDT_SC_around_lig"] == pytest.approx(np.mean(side))
+    loose = {r["id_hex"]: r for r in analysis.analyse(predictions, designs, atoms, frame(spark, {"D": d}), seq_mismatch=True).collect()}
+    assert loose["shorter"]["pLDDT_AA"] == pytest.approx(np.mean(shorter["b_factor"]))
+    coded = d | {"ins_code": ["A" if r == 6 else x for r, x in zip(d["res_id"], d["ins_code"], strict=True)], "res_id": [5 if r == 6 else r for r in d["res_id"]]}
+    two = [frame(spark, {"x": coded}).withColumnRenamed("struct_id", "pair_id") for _ in range(2)]
+    assert analysis.aligned(*two).count() == len(d["x"]) and analysis.mismatched(*two).count() == 0
+
+
 def test_analysis(spark):
     d, p, designs, predictions, d_atoms, p_atoms = inputs(spark)
     got = {r["id_hex"]: r.asDict() for r in analysis.analyse(predictions, designs, p_atoms, d_atoms, source_version=7).collect()}
