@@ -166,6 +166,7 @@ def test_top_k(spark):
     rows += [(300 + i, [0.5] * 6, 0) for i in range(40)] + [(500, None, 0), (501, [None] * 6, 0), (502, [float("nan")] * 6, 0), (503, [float("inf")] * 6, 0), (None, [1.0] * 6, 0)]
     rows += [(505, [], 0), (506, [2.0, 1.0], 0), (507, [1e30, 1.0, 0, 0, 0, -1.0], 0), (50, [0.25] * 6, 0)]
     rows += [(550, [-131072.0, 1, 0, 0, 0, 0], 0), (100, [-9.0, None, 0, 0, 0, 0], 0), (150, [float("-inf")] * 6, 0), (508, [2e5, -3.0], 0)]
+    rows = [(i, v if v is None else [x if x is None else float(x) for x in v], r) for i, v, r in rows]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int").repartition(4)
     from pyspark.sql import functions as F
 
