@@ -135,23 +135,34 @@ def _rotations(c: pd.Series) -> pd.Series:
     return pd.Series(list((u * flip[:, None, :] @ vt).reshape(-1, 9)))
 
 
-def superpose(pairs: DataFrame, where: Column, by: str = "pair_id") -> DataFrame:
-    """``pairs`` with the mobile structures moved onto the fixed ones, fitted on atoms ``where``.
+def fits(pairs: DataFrame, where: Column, by: str = "pair_id") -> DataFrame:
+    """For each pair of structures the best move of the mobile one onto the fixed one, over atoms
+    ``where``: rotation r, and the centres a_x, a_y, a_z (fixed) and a_mx, a_my, a_mz (mobile).
 
     Means and covariances are aggregates; only nine numbers for each pair of structures go through
-    Python. Pairs of fewer than one such atom are not moved.
+    Python. Pairs without such an atom have nulls.
     """
     on = lambda c: F.when(where, F.col(c))
     sums = [F.avg(on(c)).alias(f"a_{c}") for c in ("x", "y", "z", "mx", "my", "mz")]
     covariances = [F.covar_pop(on(a), on(f"m{b}")) for a in "xyz" for b in "xyz"]
     fit = pairs.groupBy(by).agg(F.array(*covariances).alias("c"), *sums)
     fit = fit.withColumn("r", F.when(F.col("a_x").isNotNull(), _rotations(F.coalesce("c", F.array(*[F.lit(0.0)] * 9)))))
-    joined = pairs.join(fit.drop("c"), by)
+    return fit.drop("c")
+
+
+def move(atoms: DataFrame, fit: DataFrame, columns: Sequence[str] = ("x", "y", "z"), by: str = "pair_id") -> DataFrame:
+    """``atoms`` with the coordinates in ``columns`` moved by ``fits``; unmoved where there is none."""
+    joined = atoms.join(fit, by, "left")
     moved = {}
     for i, c in enumerate("xyz"):
-        turned = sum((F.col("r")[3 * i + j] * (F.col(f"m{d}") - F.col(f"a_m{d}")) for j, d in enumerate("xyz")), F.lit(0.0))
-        moved[f"m{c}"] = F.coalesce(turned + F.col(f"a_{c}"), F.col(f"m{c}"))
-    return joined.withColumns(moved).select(*pairs.columns)
+        turned = sum((F.col("r")[3 * i + j] * (F.col(d) - F.col(f"a_m{e}")) for j, (d, e) in enumerate(zip(columns, "xyz", strict=True))), F.lit(0.0))
+        moved[columns[i]] = F.coalesce(turned + F.col(f"a_{c}"), F.col(columns[i]))
+    return joined.withColumns(moved).select(*atoms.columns)
+
+
+def superpose(pairs: DataFrame, where: Column, by: str = "pair_id") -> DataFrame:
+    """``pairs`` with the mobile structures moved onto the fixed ones, fitted on atoms ``where``."""
+    return move(pairs, fits(pairs, where, by), ("mx", "my", "mz"), by)
 
 
 def automorphic_rmsd(pairs: DataFrame, by: str = "pair_id", name: str = "rmsd", ignore_missing: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -184,9 +184,13 @@ class StructureLake:
 
         return found.withColumn("heavy", as_json("payload")).drop("payload")
 
-    def validate_entries(self) -> DataFrame:
-        """(id, error) of rows whose payload is not addressed, cut short or damaged."""
-        return self.fetch(self.df().select("id", *ADDRESS)).filter("error is not null").select("id", "error")
+    def validate_entries(self, progress: Observation | None = None) -> DataFrame:
+        """(id, error) of rows whose payload is not addressed, cut short or damaged. ``progress`` gets the
+        numbers of rows read (scanned) and found invalid, once the result is computed."""
+        read = self.fetch(self.df().select("id", *ADDRESS))
+        if progress is not None:
+            read = read.observe(progress, F.count(F.lit(1)).alias("scanned"), F.count_if(F.col("error").isNotNull()).alias("invalid"))
+        return read.filter("error is not null").select("id", "error")
 
     # Export
 

@@ -39,15 +39,15 @@ def delete_where(df: DataFrame, condition: Column) -> DataFrame:
 def merge_update(target: DataFrame, source: DataFrame, on: str) -> DataFrame:
     """``target`` with all columns of ``source``: those of the row with the same key where there is
     one, else the old value or null. Keys of ``source`` must be unique (see ``assert_unique``)."""
-    new = source.select(F.col(on).alias("__on"), F.lit(True).alias("__hit"), *[F.col(c).alias(f"__new_{c}") for c in source.columns if c != on])
+    new = source.select(F.col(on).alias("__on"), F.lit(True).alias("__hit"), *[F.col(f"`{c}`").alias(f"__new_{c}") for c in source.columns if c != on])
     joined = target.join(new, target[on] == F.col("__on"), "left")
 
     def column(c: str) -> Column:
-        old = target[c] if c in target.columns else F.lit(None)
-        return F.when(F.col("__hit"), F.col(f"__new_{c}")).otherwise(old).alias(c)
+        old = target[f"`{c}`"] if c in target.columns else F.lit(None)
+        return F.when(F.col("__hit"), F.col(f"`__new_{c}`")).otherwise(old).alias(c)
 
     names = [*target.columns, *[c for c in source.columns if c not in target.columns]]
-    return joined.select(*[column(c) if c in source.columns and c != on else target[c] for c in names])
+    return joined.select(*[column(c) if c in source.columns and c != on else target[f"`{c}`"] for c in names])
 
 
 def assert_unique(df: DataFrame, on: str) -> None:

@@ -69,6 +69,23 @@ def aligned(design: DataFrame, prediction: DataFrame, ignore_missing_oxygen: boo
     return one.join(two, place)
 
 
+def in_design_order(prediction: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The prediction's atoms, numbered as their counterparts in the design; those without one come last.
+    Their own numbers are own_idx."""
+    place = [c for c in ("pair_id", "chain_id", "res_id", "ins_code", "atom_name") if c in pairs.columns and c in prediction.columns]
+    counterparts = pairs.select(*place, F.col("atom_idx").alias("__design"))
+    last = F.col("own_idx") + (1 << 24)
+    return prediction.withColumnRenamed("atom_idx", "own_idx").join(counterparts, place, "left").withColumn("atom_idx", F.coalesce("__design", last).cast("int")).drop("__design")
+
+
+def with_confidences(atoms: DataFrame, confidences: DataFrame) -> DataFrame:
+    """Atoms (struct_id, atom_idx) whose b_factor is that of atom_plddts in the JSON ``heavy`` of their
+    structure (id_hex), where it has one for the atom."""
+    plddts = confidences.select(F.col("id_hex").alias("struct_id"), F.from_json("heavy", "atom_plddts array<double>")["atom_plddts"].alias("__plddts"))
+    joined = atoms.join(plddts, "struct_id", "left")
+    return joined.withColumn("b_factor", F.coalesce(F.get("__plddts", F.col("atom_idx")), "b_factor")).select(*atoms.columns)
+
+
 def base_metrics(design: DataFrame, prediction: DataFrame, pairs: DataFrame, seq_mismatch: bool = False, ignore_missing: bool = True) -> DataFrame:
     """pLDDT_CA, pLDDT_AA, RMSD_CA, RMSD_AA, pLDDT_SC_around_lig, RMSD_SC_around_lig for each pair.
 
@@ -116,17 +133,24 @@ def analyse(
     rename_atoms: Sequence[str] = (),
     seq_mismatch: bool = False,
     source_version: int | None = None,
+    confidences: DataFrame | None = None,
 ) -> DataFrame:
     """id_hex, all metrics and the version of the source, for every prediction that has a design.
 
     ``predictions`` has id_hex and name, ``designs`` name and design_id; atoms are keyed by struct_id
-    (id_hex or design_id).
+    (id_hex or design_id). ``confidences`` has id_hex and heavy, JSON as stored with a prediction: its
+    atom_plddts, if there, count in place of the structure's own values, and score functions get all of
+    it. Predictions without any keep their own values.
     """
     if rename_residues and rename_atoms:
         raise ValueError("rename residues or atoms, not both")
     matched = join_designs(predictions, designs).withColumn("pair_id", F.concat_ws("|", "id_hex", "design_id"))
     keys = matched.select("pair_id", "id_hex", "design_id")
     design = prepare(design_atoms, ncaa).join(keys.withColumnRenamed("design_id", "struct_id").drop("id_hex"), "struct_id").drop("struct_id")
+    heavy = None
+    if confidences is not None:
+        heavy = confidences.groupBy("id_hex").agg(F.first("heavy").alias("heavy"))
+        prediction_atoms = with_confidences(prediction_atoms, heavy)
     mine = names.rename_residue_atoms(names.rename_residues(prediction_atoms, rename_residues), rename_atoms)
     prediction = prepare(mine, ncaa).join(keys.withColumnRenamed("id_hex", "struct_id").drop("design_id"), "struct_id").drop("struct_id")
     prediction = without_new_oxygen(design, prediction)
@@ -134,9 +158,10 @@ def analyse(
     out = keys.select("pair_id", "id_hex").join(base_metrics(design, prediction, pairs, seq_mismatch), "pair_id").join(ligand_plddt(prediction), "pair_id", "left")
     if functions:
         ca = (F.col("atom_name") == "CA") & ~F.col("hetero")
-        moved = g.superpose(pairs, ca)
-        two = moved.select("pair_id", "atom_idx", "chain_id", "res_id", F.col("m_res_name").alias("res_name"), "hetero", "atom_name", *[F.col(f"m{c}").alias(c) for c in "xyz"], F.col("plddt").alias("b_factor"))
-        one = moved.select("pair_id", "atom_idx", "chain_id", "res_id", "res_name", "hetero", "atom_name", "x", "y", "z", F.lit(0.0).alias("b_factor"))
-        meta = matched.select("pair_id", *[c for c in predictions.columns if c != "pair_id"])
-        out = out.join(apply_scores(one, two, meta, functions, args or Namespace()), "pair_id", "left")
+        moved = in_design_order(g.move(prediction, g.fits(pairs, ca)), pairs)
+        meta = matched.select("pair_id", *[f"`{c}`" for c in predictions.columns if c != "pair_id"])
+        if heavy is not None:
+            meta = meta.join(heavy.select("id_hex", F.col("heavy").alias("__heavy")), "id_hex", "left")
+        scored = apply_scores(design.withColumn("b_factor", F.lit(0.0)), moved, meta, functions, args or Namespace(), "__heavy" if heavy is not None else None)
+        out = out.join(scored, "pair_id", "left")
     return out.drop("pair_id").withColumn("analysis_source_version", F.lit(source_version).cast("long"))

@@ -223,8 +223,11 @@ _TYPES = ("click", "view", "purchase")
     "select user_id, " + ", ".join(f"round(avg(value) filter (where event_type = '{t}'), 6) as mean_{t}" for t in _TYPES) + " from events group by user_id"
 )
 def q20_pivot_means(spark, sf_dir):
-    wide = _t(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", list(_TYPES)).agg(F.round(F.avg("value"), 6))
-    return wide.select("user_id", *[F.col(t).alias(f"mean_{t}") for t in _TYPES])
+    from tessera.plans.analysis import ligand_plddt
+
+    atoms = _t(spark, sf_dir, "events").select(F.col("user_id").alias("pair_id"), F.lit(True).alias("hetero"), F.col("event_type").alias("res_name"), F.col("value").alias("b_factor"))
+    wide = ligand_plddt(atoms, _TYPES)
+    return wide.select(F.col("pair_id").alias("user_id"), *[F.round(f"pLDDT_LIG_{t}", 6).alias(f"mean_{t}") for t in _TYPES])
 
 
 @_query("select user_id, round(avg(value), 6) as mean_all, round(avg(value) filter (where event_type = 'click'), 6) as mean_masked from events group by user_id")
@@ -285,9 +288,9 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"with {_ATOMS}{_PAIRS} select pair_id, round(sqrt(avg(d)), 6) as rmsd_all, round(sqrt(avg(d) filter (where atom_name = 'CA' and not hetero)), 6) as rmsd_ca from pairs group by pair_id")
 def q22_rmsd(spark, sf_dir):
     pairs = _pairs(spark, sf_dir)
-    d = g.square_distance()
-    ca = F.when((F.col("atom_name") == "CA") & ~F.col("hetero"), d)
-    return pairs.groupBy("pair_id").agg(F.round(F.sqrt(F.avg(d)), 6).alias("rmsd_all"), F.round(F.sqrt(F.avg(ca)), 6).alias("rmsd_ca"))
+    ca = (F.col("atom_name") == "CA") & ~F.col("hetero")
+    both = g.rmsd(pairs, name="rmsd_all").join(g.rmsd(pairs, ca, "rmsd_ca"), "pair_id")
+    return both.select("pair_id", *[F.round(c, 6).alias(c) for c in ("rmsd_all", "rmsd_ca")])
 
 
 @_query()
@@ -296,6 +299,15 @@ def q23_superpose(spark, sf_dir):
     return g.rmsd(fitted, name="rmsd").select("pair_id", F.round("rmsd", 5).alias("rmsd"))
 
 
+@_query(f"with {_ATOMS} select distinct struct_id as pair_id, 0.0 as rmsd from atoms")
+def q23b_superpose_moved(spark, sf_dir):
+    """Each structure on a copy turned by a right angle and shifted: they coincide."""
+    atoms = atoms_of(_t(spark, sf_dir, "embeddings")).withColumnRenamed("struct_id", "pair_id")
+    pairs = atoms.select("*", (F.col("y") + 2).alias("mx"), (3 - F.col("x")).alias("my"), (F.col("z") - 1).alias("mz"))
+    fitted = g.superpose(pairs, (F.col("atom_name") == "CA") & ~F.col("hetero"))
+    return g.rmsd(fitted, name="rmsd").select("pair_id", F.round("rmsd", 6).alias("rmsd"))
+
+
 @_query(
     f"with {_ATOMS}{_PAIRS}, o as (select p.*, q.mx as ox, q.my as oy, q.mz as oz from pairs p left join pairs q on p.pair_id = q.pair_id and p.res_id = q.res_id "
     "and p.res_name in ('LEU', 'VAL') and p.atom_idx % 3 != 0 and q.atom_idx % 3 = 3 - p.atom_idx % 3), "

@@ -104,11 +104,22 @@ class SpoolIngester:
                     return int(number) == epoch
         return False
 
+    def _check_manifests(self, df: DataFrame) -> None:
+        """ValueError if a published batch does not have as many entries as its manifest says; one row for
+        each batch of this trigger reaches the driver."""
+        batch = F.element_at(F.split("file", "/"), -2)
+        for name, n in df.groupBy(batch.alias("batch")).agg(F.count_distinct("file").alias("n")).collect():
+            with open(os.path.join(self.source, name, "_manifest.json")) as f:
+                wanted = json.load(f)["entry_count"]
+            if n != wanted:
+                raise ValueError(f"{name} has {n} entries, its manifest says {wanted}")
+
     def _store(self, df: DataFrame, epoch: int) -> None:
         with open(os.path.join(self.checkpoint, "metadata")) as f:
             stream = json.load(f)["id"]
         if self._committed(stream, epoch):
             return
+        self._check_manifests(df)
         user = self.writer.config.user_schema
         light = F.from_json("light", T.StructType([T.StructField(f.name, f.dataType) for f in user.fields]))
         rows = df.withColumn("l", light).select("pdb", "heavy", *[F.col(f"l.{f.name}") for f in user.fields]).persist()
@@ -121,6 +132,7 @@ class SpoolIngester:
     def _stream(self):  # noqa: ANN202
         spark = self.writer.spark
         stream = spark.readStream.schema(_ENTRY).option("recursiveFileLookup", "true").option("pathGlobFilter", "group-*.json").json(self.source)
+        stream = stream.select("*", F.col("_metadata.file_path").alias("file"))
         return stream.writeStream.foreachBatch(self._store).option("checkpointLocation", self.checkpoint)
 
     def run_once(self, run_maintenance: bool = False) -> dict[str, int]:

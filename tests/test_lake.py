@@ -329,6 +329,49 @@ def test_spool(spark, tmp_path):
     assert np.array_equal(sorted(r["sample_idx"] for r in w.query().collect()), [0, 1, 2])
 
 
+def test_spool_checks_the_manifest(spark, tmp_path):
+    w = LakeWriter(spark, WriterConfig(str(tmp_path), USER))
+    s = StagingWriter(str(tmp_path))
+    for i in range(2):
+        s.add(text.write_pdb(make()), {"name": "x", "sample_idx": i})
+    (tmp_path / "spool" / "incoming" / s.name / "group-00001.json").unlink()
+    s.publish()
+    with pytest.raises(Exception, match="manifest"):
+        SpoolIngester(str(tmp_path), w).run_once()
+    assert w.row_count() == 0
+
+
+def test_progress_of_validation(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    w = LakeWriter(spark, WriterConfig(str(tmp_path), USER))
+    w.append(spark.createDataFrame([(text.write_pdb(make()), "a", i) for i in range(3)], "payload string, name string, sample_idx int"), form="pdb")
+    seen = Observation()
+    assert w.lake.validate_entries(seen).count() == 0 and seen.get == {"scanned": 3, "invalid": 0}
+
+
+def test_command_line(spark, tmp_path):
+    """Scores against a folder and against one file, staged and merged, with a built-in score function."""
+    from tessera import cli
+
+    w = LakeWriter(spark, WriterConfig(str(tmp_path / "lake"), USER))
+    w.append(spark.createDataFrame([(text.write_pdb(make(noise=0.1)), "d", 0)], "payload string, name string, sample_idx int"), form="pdb")
+    (tmp_path / "designs").mkdir()
+    design = tmp_path / "designs" / "d.pdb"
+    design.write_text(text.write_pdb(make()))
+    lake, staging = str(tmp_path / "lake"), str(tmp_path / "staging")
+    plugins = ["--plugins", "lig_atom_dist", "--ligand_atom_distances", "LIG:C1_LIG:O1"]
+    cli.main(["analyse", "--lake", lake, "--design-dir", str(design.parent), "--staging-path", staging, "--dont-merge", *plugins])
+    assert "RMSD_CA" not in w.lake.df().columns
+    cli.main(["analyse", "--lake", lake, "--staging-path", staging, "--merge-only"])
+    row = w.lake.df().first()
+    assert 0 < row["RMSD_CA"] < 1 and row["lig_atom_dist_LIG.C1_LIG.O1"] > 0 and row["score_error"] is None
+    cli.main(["analyse", "--lake", lake, "--design-pdb", str(design)])
+    assert w.lake.df().first()["RMSD_CA"] == pytest.approx(row["RMSD_CA"])
+    with pytest.raises(SystemExit):
+        cli.main(["analyse", "--lake", lake])
+
+
 def test_spool_after_a_crash_between_commit_and_checkpoint(spark, tmp_path):
     """A batch that the table has is not stored again, though the stream's checkpoint doesn't know of it."""
     w = LakeWriter(spark, WriterConfig(str(tmp_path), USER))

@@ -236,7 +236,7 @@ def test_ligand_scores():
     less = scores.ScoreInput(side(d), side(p)[lambda x: x["atom_name"] != "O2"], {}, {}, Namespace())
     assert math.isnan(scores.ligand_rmsd(less, {"LIG:LIG": names_}, {})["RMSD_lig_LIG:LIG"])
     assert scores.ligand_rmsd(less, {"LIG:LIG": names_}, {}, partial=True)["RMSD_lig_LIG:LIG"] > 0
-    dist = scores.ligand_atom_distance(s, ["LIG:C1_LIG:O1"])["dist_LIG:C1_LIG:O1"]
+    dist = scores.ligand_atom_distance(s, ["LIG:C1_LIG:O1"])["lig_atom_dist_LIG.C1_LIG.O1"]
     assert dist == pytest.approx(np.linalg.norm(xyz(p)[c1] - xyz(p)[[a == "O1" for a in p["atom_name"]].index(True)]))
     assert scores.ligand_atom_distance(s, None) == {}
     with pytest.raises(ValueError):
@@ -259,8 +259,8 @@ def test_motif_scores(tmp_path):
     maps = scores.read_motif_maps(str(tmp_path / "m.db"))
     got = scores.mapped_motif_rmsd(s, maps, 2)
     parts = [got[f"diff_motif_rmsd_A{i}"] for i in (2, 3, 4)]
-    assert got["diff_motif_rmsd"] == pytest.approx(math.sqrt(np.mean(np.square(parts))))
-    assert scores.mapped_motif_rmsd(s, maps, 2, align=True)["diff_motif_rmsd"] == pytest.approx(0, abs=1e-6)
+    assert got["diff_motif_rmsd_overall"] == pytest.approx(math.sqrt(np.mean(np.square(parts))))
+    assert scores.mapped_motif_rmsd(s, maps, 2, align=True)["diff_motif_rmsd_overall"] == pytest.approx(0, abs=1e-6)
     with pytest.raises(ValueError):
         scores.mapped_motif_rmsd(s, maps, 1)
 
@@ -275,23 +275,45 @@ def test_plugins(spark, tmp_path):
     with pytest.raises(ValueError):
         (tmp_path / "none.py").write_text("x = 1\n")
         registry.load(str(tmp_path), ["none"])
-    functions = registry.load(str(tmp_path), ["atoms"], parser)
-    # Plugin modules are files of the driver; executors get the functions by value.
-    functions = [scores.ScoreFunction(f.name, f.columns, _by_value(f.score)) for f in functions]
-    functions.append(scores.ScoreFunction("fails", "fails double", _fails))
+    functions = registry.load(str(tmp_path), ["atoms", "fails"], parser)
     d, _, designs, predictions, d_atoms, p_atoms = inputs(spark)
     out = analysis.analyse(predictions, designs, p_atoms, d_atoms, functions, parser.parse_args(["--note", "z"])).first()
     assert (out["n_atoms"], out["note"], out["fails"]) == (len(d["x"]), "zx", None) and out["score_error"] == "fails: no"
 
 
-def _by_value(f):
-    import types
-
-    return types.FunctionType(f.__code__, {"len": len, "__builtins__": __builtins__}, f.__name__)
+def test_built_in_scores(spark, tmp_path):
+    """All four by their arguments, with stored confidences; a ligand in another chain is compared too."""
+    import json
+    import sqlite3
 
+    from tessera.sources.formats import msgpack
 
-def _fails(s):
-    raise ValueError("no")
+    with sqlite3.connect(tmp_path / "m.db") as db:
+        db.execute("create table maps(name text, data blob)")
+        db.execute("insert into maps values ('x', ?)", (msgpack.packb({"M1": "A2", "M2": "A3"}),))
+    parser = ArgumentParser()
+    for f in scores.BUILT_IN.values():
+        f.register_args(parser)
+    argv = ["--ligand_atom_distances", "LIG:C1_LIG:O1", "--motif-residues-contig", "A2-5", "--superimpose-on-motif", "--diff-motif-map-db", str(tmp_path / "m.db")]
+    args = parser.parse_args(argv)
+    d = make()
+    p = turned(d, noise=0.0)
+    p = p | {"chain_id": ["C" if h else c for c, h in zip(p["chain_id"], p["hetero"], strict=True)]}
+    designs = spark.createDataFrame([("x", "D")], "name string, design_id string")
+    predictions = spark.createDataFrame([("P", "x", 0, 1)], "id_hex string, name string, sample int, seed int")
+    plddts = np.arange(len(d["x"])) / 2
+    heavy = spark.createDataFrame([("P", json.dumps({"atom_plddts": plddts.tolist(), "pae": [[1.5]]}))], "id_hex string, heavy string")
+    seen = scores.ScoreFunction("seen", "pae double, last double", lambda s: {"pae": s.confidences["pae"][0][0], "last": s.confidences["atom_plddts"][-1]})
+    functions = [*scores.BUILT_IN.values(), seen]
+    out = analysis.analyse(predictions, designs, frame(spark, {"P": p}), frame(spark, {"D": d}), functions, args, confidences=heavy).first().asDict()
+    assert out["score_error"] is None
+    for c in ("RMSD_lig_LIG:LIG", "motif_rmsd_AA", "motif_rmsd_CA", "diff_motif_rmsd_M1", "diff_motif_rmsd_M2", "diff_motif_rmsd_overall"):
+        assert out[c] == pytest.approx(0, abs=1e-4), c
+    at = {a: xyz(d)[i] for i, (a, h) in enumerate(zip(d["atom_name"], d["hetero"], strict=True)) if h}
+    assert out["lig_atom_dist_LIG.C1_LIG.O1"] == pytest.approx(np.linalg.norm(at["C1"] - at["O1"]))
+    assert out["pLDDT_AA"] == pytest.approx(plddts.mean()) and (out["pae"], out["last"]) == (1.5, plddts[-1])
+    merged = tables.merge_update(predictions, spark.createDataFrame([("P", 2.0)], ["id_hex", "a.b"]), "id_hex")
+    assert merged.first()["a.b"] == 2.0
 
 
 def test_entry_imports():
