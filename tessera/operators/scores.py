@@ -395,11 +395,11 @@ def apply_scores(designs: DataFrame, predictions: DataFrame, meta: DataFrame, fu
         atoms = atoms.sort_values("atom_idx")
         d, p = atoms[atoms["side"] == 0].reset_index(drop=True), atoms[atoms["side"] == 1].reset_index(drop=True)
         row: dict[str, Any] = {"pair_id": atoms["pair_id"].iat[0], "score_error": None} | dict.fromkeys(names)
-        info = {k: rows[k].iat[0] for k in extra}
+        info = {k: rows[f"__{i}"].iat[0] for i, k in enumerate(extra)}
         failed = []
         for f in functions:
             try:
-                confidences = confidences_of(rows[heavy].iat[0] if heavy else None, p)
+                confidences = confidences_of(rows["__heavy"].iat[0] if heavy else None, p)
                 found = f.score(ScoreInput(d.copy(), p.copy(), info, confidences, args))
                 row |= {k: v for k, v in (found or {}).items() if k in names}
             except Exception as e:  # noqa: BLE001  a plugin's failure is a result
@@ -409,6 +409,7 @@ def apply_scores(designs: DataFrame, predictions: DataFrame, meta: DataFrame, fu
 
     columns = ["pair_id", "atom_idx", "chain_id", "res_id", "res_name", "hetero", "atom_name", "x", "y", "z", "b_factor"]
     one, two = (df.select(*columns, (F.col("own_idx") if "own_idx" in df.columns else F.col("atom_idx")).alias("own_idx"), F.lit(i).alias("side")) for i, df in enumerate((designs, predictions)))
-    # The key has another name there, as both sides may come from one table.
-    rows = meta.withColumnRenamed("pair_id", "__pair")
+    # Columns have other names there: both sides may come from one table, and theirs may have dots.
+    given = [F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(extra)]
+    rows = meta.select(F.col("pair_id").alias("__pair"), *given, *([F.col(heavy).alias("__heavy")] if heavy else []))
     return one.unionByName(two).groupBy("pair_id").cogroup(rows.groupBy("__pair")).applyInPandas(score, schema)

@@ -126,7 +126,9 @@ def fetch(df: DataFrame, folder: str, kind: str = "bcif", check: bool = True) ->
         reader.close()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "payload binary", "error string"])
-    return df.repartition(shard).sortWithinPartitions(shard, off).mapInArrow(read, schema)
+    dealt = df.repartition(shard).sortWithinPartitions(shard, off)
+    # Columns go to Python under plain names, as theirs may have dots.
+    return dealt.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(read, schema)
 
 
 def scan_records(path: str) -> Iterator[tuple[bytes, int, int, int, bool, bytes]]:

@@ -366,7 +366,7 @@ def test_command_line(spark, tmp_path):
     cli.main(["analyse", "--lake", lake, "--staging-path", staging, "--merge-only"])
     row = w.lake.df().first()
     assert 0 < row["RMSD_CA"] < 1 and row["lig_atom_dist_LIG.C1_LIG.O1"] > 0 and row["score_error"] is None
-    cli.main(["analyse", "--lake", lake, "--design-pdb", str(design)])
+    cli.main(["analyse", "--lake", lake, "--design-pdb", str(design), *plugins])
     assert w.lake.df().first()["RMSD_CA"] == pytest.approx(row["RMSD_CA"])
     with pytest.raises(SystemExit):
         cli.main(["analyse", "--lake", lake])
