@@ -299,7 +299,7 @@ def q23_superpose(spark, sf_dir):
     return g.rmsd(fitted, name="rmsd").select("pair_id", F.round("rmsd", 5).alias("rmsd"))
 
 
-@_query(f"with {_ATOMS} select distinct struct_id as pair_id, 0.0 as rmsd from atoms")
+@_query(f"with {_ATOMS} select distinct struct_id as pair_id, cast(0 as double) as rmsd from atoms")
 def q23b_superpose_moved(spark, sf_dir):
     """Each structure on a copy turned by a right angle and shifted: they coincide."""
     atoms = atoms_of(_t(spark, sf_dir, "embeddings")).withColumnRenamed("struct_id", "pair_id")
