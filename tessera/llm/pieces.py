@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding, with sampling of segmentations without replacement.
 
-``encode`` and ``decode`` use the sentencepiece library. ``sample_segmentations`` draws ``k`` distinct
-segmentations of each text by a perturbed A* search (Gumbel top-k):
+``encode_texts`` (for a table) and ``encode`` give the sentencepiece library's own segmentation.
+``sample_segmentations`` draws ``k`` distinct segmentations of each text by a perturbed A* search
+(Gumbel top-k):
 
 * The lattice of a text has an edge for each vocabulary piece that matches at a position; a character
   that no piece covers gets an edge of byte pieces. Pieces of this kind of model hold spaces only at
@@ -469,6 +470,34 @@ def sample_segmentations(
     return rows.mapInArrow(_sampler(proto, alpha, k, seed, with_pieces), schema)
 
 
+@lru_cache(maxsize=2)
+def _library(proto: bytes):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_proto=proto)
+
+
+def _encoder(proto):
+    def encode_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sp = _library(proto.value)
+        for batch in _text.batches(it, CHUNK):
+            texts = batch.column(1).fill_null("").to_pylist()
+            found = sp.encode(texts, num_threads=1)
+            same = [a == b for a, b in zip(sp.decode(found, num_threads=1), texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["key", "pieces", "round_trip"])
+
+    return encode_batches
+
+
+def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
+    """The library's own segmentation of each text: key, pieces, round_trip (the library decodes it to the
+    text again, which it does not for a text with the character that stands for spaces in pieces)."""
+    with open(model or default_model(), "rb") as f:
+        proto = docs.sparkSession.sparkContext.broadcast(f.read())
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    return rows.mapInArrow(_encoder(proto), "key long, pieces array<int>, round_trip boolean")
+
+
 def encode(texts: list[str], model: str | None = None) -> list[list[int]]:
     """The library's own segmentation."""
     import sentencepiece

@@ -248,10 +248,13 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two segmentations of each document, sampled without replacement and decoded again."""
+    """The library's own segmentation of each document (sample -1, without scores) and two sampled without
+    replacement, with their pieces; all are decoded again."""
     docs = table(spark, sf_dir, "documents")
-    found = pieces.sample_segmentations(docs, k=2, with_pieces=False)
-    return found.withColumnRenamed("key", "doc_id")
+    drawn = pieces.sample_segmentations(docs, k=2)
+    own = pieces.encode_texts(docs).withColumn("sample", F.lit(-1))
+    found = drawn.unionByName(own, allowMissingColumns=True).withColumnRenamed("key", "doc_id")
+    return found.withColumn("n_pieces", F.size("pieces").cast("long"))
 
 
 @query

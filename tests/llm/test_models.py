@@ -268,3 +268,19 @@ def test_sampling_of_a_table(spark):
     assert sizes == {(r["key"], r["sample"]): len(r["pieces"]) for r in got}
     assert pieces.sample_segmentations(df.limit(0)).count() == 0
     assert pieces.decode(pieces.encode(["Hello  wörld\n"]))[0] == "Hello  wörld\n"
+
+
+def test_query_of_segmentations_gives_pieces_and_the_librarys_own(spark, tmp_path):
+    from tessera.llm import queries
+
+    rows = [(i, t) for i, t in enumerate([*brute.ODD, "some words here", "def f(x):\n    return   1", "a▁b"])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["sample"]): r for r in queries.op9_sentencepiece_sampling(spark, str(tmp_path)).collect()}
+    texts = {d: t or "" for d, t in rows}
+    own = pieces.encode(list(texts.values()))
+    assert {d: got[d, -1]["pieces"] for d in texts} == dict(zip(texts, own, strict=True))
+    assert {d for d, s in got if s == 0} == set(texts)
+    for (d, s), r in got.items():
+        assert r["n_pieces"] == len(r["pieces"]) and (s < 0) == (r["log_prob"] is None)
+        assert r["round_trip"] == (pieces.decode([r["pieces"]])[0] == texts[d]) and (r["round_trip"] or s < 0 and "▁" in texts[d])
+        assert s != 1 or r["pieces"] != got[d, 0]["pieces"]
