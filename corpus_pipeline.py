@@ -42,9 +42,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sampled segmentation of each document."""
-    found = pieces.sample_segmentations(docs, k=1)
-    return found.select(F.col("key").alias("doc_id"), "pieces", F.size("pieces").cast("long").alias("n_pieces"), "log_prob", "round_trip")
+    """Two segmentations of each document, sampled without replacement, with their inclusion scores."""
+    found = pieces.sample_segmentations(docs, k=2)
+    n_pieces = F.size("pieces").cast("long").alias("n_pieces")
+    return found.select(F.col("key").alias("doc_id"), "sample", "pieces", n_pieces, "log_prob", "perturbed", "log_inclusion", "round_trip")
 
 
 STAGES = [

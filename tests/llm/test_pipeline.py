@@ -55,3 +55,13 @@ def test_stages_keep_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.dtypes == docs.dtypes and out.count() == 0
+
+
+def test_last_stage_samples_without_replacement(spark, tmp_path):
+    texts = {1: "some words here", 2: "", 3: "I"}
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r["doc_id"], r["sample"]): r for r in corpus_pipeline.encoding(spark, docs, str(tmp_path)).collect()}
+    assert set(got) == {(1, 0), (1, 1), (2, 0), (3, 0), (3, 1)}
+    assert all(got[d, 0]["pieces"] != got[d, 1]["pieces"] for d in (1, 3)) and got[1, 0]["perturbed"] > got[1, 1]["perturbed"]
+    assert all(pieces.decode([r["pieces"]])[0] == texts[d] and r["round_trip"] for (d, _), r in got.items())
+    assert got[1, 1]["log_inclusion"] < 0 and got[2, 0]["log_inclusion"] == 0
