@@ -251,9 +251,7 @@ def op9_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The library's own segmentation of each document (sample -1, without scores) and two sampled without
     replacement, with their pieces; all are decoded again."""
     docs = table(spark, sf_dir, "documents")
-    drawn = pieces.sample_segmentations(docs, k=2)
-    own = pieces.encode_texts(docs).withColumn("sample", F.lit(-1))
-    found = drawn.unionByName(own, allowMissingColumns=True).withColumnRenamed("key", "doc_id")
+    found = pieces.sample_segmentations(docs, k=2, own=True).withColumnRenamed("key", "doc_id")
     return found.withColumn("n_pieces", F.size("pieces").cast("long"))
 
 

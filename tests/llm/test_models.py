@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from collections import Counter
 from fractions import Fraction
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -284,3 +286,37 @@ def test_query_of_segmentations_gives_pieces_and_the_librarys_own(spark, tmp_pat
         assert r["n_pieces"] == len(r["pieces"]) and (s < 0) == (r["log_prob"] is None)
         assert r["round_trip"] == (pieces.decode([r["pieces"]])[0] == texts[d]) and (r["round_trip"] or s < 0 and "▁" in texts[d])
         assert s != 1 or r["pieces"] != got[d, 0]["pieces"]
+
+
+def test_library_encodes_each_word_once(monkeypatch):
+    import sentencepiece
+
+    with open(pieces.default_model(), "rb") as f:
+        proto = SimpleNamespace(value=f.read())
+    rng = random.Random(3)
+    parts = [" ", "  ", "\n", "▁", "a", "the", "ü☃", "\t", "　", "🙂", "\x00", "return", "\r\n", "<0x0A>", "x" * 40]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(2000)] + ["", None, "\n", " ", "x" * 9000]
+    plain = [t or "" for t in texts]
+    want = pieces.encode(plain)
+    run = lambda t: [r for b in pieces._encoder(proto)(iter([pa.record_batch([pa.array(range(len(t))), pa.array(t)], ["key", "text"])])) for r in b.to_pylist()]
+    got = run(texts)
+    assert [r["key"] for r in got] == list(range(len(texts))) and [r["pieces"] for r in got] == want
+    sp = sentencepiece.SentencePieceProcessor(model_proto=proto.value)
+    assert [r["round_trip"] for r in got] == [a == b for a, b in zip(sp.decode(want), plain, strict=True)]
+    seen, real = [], sentencepiece.SentencePieceProcessor.encode
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "encode", lambda self, x, **o: seen.extend(x) or real(self, x, **o))
+    often = ["some words here " * 2000] * 3
+    assert [r["pieces"] for r in run(often)] == real(sp, often) and sum(map(len, seen)) < 1000
+    # Models whose pieces may cross words: whole texts.
+    monkeypatch.setattr(pieces._library(proto.value), "by_words", False)
+    assert run(texts) == got
+    pieces._library.cache_clear()
+
+
+def test_query_of_segmentations_reads_the_documents_once(spark, tmp_path, capsys):
+    from tessera.llm import queries
+
+    spark.createDataFrame([(1, "some words")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    queries.op9_sentencepiece_sampling(spark, str(tmp_path)).explain("simple")
+    plan = capsys.readouterr().out
+    assert plan.count("FileScan") == 1 and plan.count("MapInArrow") == 1
