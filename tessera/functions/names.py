@@ -34,12 +34,28 @@ def content_id(payload: Column) -> Column:
 
 
 def expand_contigs(df: DataFrame, spec: str = "contig", key: str = "id") -> DataFrame:
-    """Distinct (key, chain, res) of contigs such as ``A10,B12-30,35``; chain A where none is given."""
-    part = df.select(key, F.explode(F.split(F.regexp_replace(spec, r"\s", ""), ",")).alias("p"))
+    """Distinct (key, chain, res) of contigs such as ``A10,B12-30,35``; chain A where none is given, and no
+    residues of a range whose end is before its start.
+
+    Contigs are dealt out before they are expanded, as one task would else hold the residues of a whole
+    file. Residues are told apart as bits of a mask for each 64 of a chain, so that long ranges take few rows."""
+    # A count that is given stays: merged by their few bytes, the contigs would meet in few tasks again.
+    spark = df.sparkSession
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    dealt = df.select(F.col(key).alias("k"), F.col(spec).alias("spec")).repartition(n, "k", "spec")
+    part = dealt.select("k", F.explode(F.split(F.regexp_replace("spec", r"\s", ""), ",")).alias("p"))
     chain = F.coalesce(F.nullif(F.regexp_extract("p", r"^([A-Za-z])", 1), F.lit("")), F.lit("A"))
     low = F.regexp_extract("p", r"^[A-Za-z]?(\d+)", 1).cast("int")
-    high = F.coalesce(F.nullif(F.regexp_extract("p", r"-[A-Za-z]?(\d+)$", 1), F.lit("")).cast("int"), low)
-    return part.select(key, chain.alias("chain"), F.explode(F.sequence(low, high)).alias("res")).distinct()
+    high = F.coalesce(F.nullif(F.regexp_extract("p", r"-[A-Za-z]?(\d+)$", 1), F.lit("")).cast("int"), F.col("low"))
+    part = part.select("k", "p", chain.alias("chain"), low.alias("low")).select("k", "chain", "low", high.alias("high"))
+    blocks = F.when(F.col("low") <= F.col("high"), F.sequence(F.shiftright("low", 6), F.shiftright("high", 6)))
+    part = part.select("k", "chain", "low", "high", F.explode(blocks).alias("block"))
+    start = F.col("block") * 64
+    part = part.select("k", "chain", "block", F.greatest("low", start).alias("low"), F.least("high", start + 63).alias("high"))
+    mask = F.bit_or(F.expr("shiftleft(-1L, low - block * 64) & shiftrightunsigned(-1L, block * 64 + 63 - high)"))
+    masks = part.groupBy("k", "chain", "block").agg(F.min("low").alias("low"), F.max("high").alias("high"), mask.alias("mask"))
+    res = masks.select("k", "chain", "mask", F.explode(F.sequence("low", "high")).alias("res"))
+    return res.filter("getbit(mask, res & 63) = 1").select(F.col("k").alias(key), "chain", "res")
 
 
 def expand_contig(spec: str) -> list[tuple[str, int]]:

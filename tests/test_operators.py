@@ -144,6 +144,32 @@ def test_names_and_renames(spark):
     assert tuple(out.first()) == ("1_None", "a.cif", "a_b")
 
 
+def test_contigs_of_one_file(spark, tmp_path):
+    """They are expanded by several tasks, and aggregates take a row for each 64 residues of a range."""
+
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    contigs = [f"A{i}-{i + 6399}, B62-65,{i + 7000},B127-128,A9-5,z2147483647" for i in range(20)]
+    contigs += ["7,A3-70", "A60-63,A64,A66,A191-193", "B5-5,b5", None]
+    data = [(None if i == 19 else i % 21, c) for i, c in enumerate(contigs)]
+    spark.createDataFrame(data, "low int, chains string").coalesce(1).write.parquet(str(tmp_path / "c"))
+    want = {(k, *r) for k, c in data if c for r in names.expand_contig(c)}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = names.expand_contigs(spark.read.parquet(str(tmp_path / "c")), "chains", "low")
+        got = df.toArrow().to_pydict()
+        plan = list(nodes(df._jdf.queryExecution().executedPlan()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert list(got) == ["low", "chain", "res"] and len(got["res"]) == len(want) and set(zip(*got.values(), strict=True)) == want
+    assert all(p.outputPartitioning().numPartitions() > 1 for p in plan if p.nodeName() in ("Generate", "HashAggregate"))
+    held = [p.metrics().apply("numOutputRows").value() for p in plan if p.nodeName() == "HashAggregate"]
+    assert len(held) == 2 and max(held) < len(want) / 30
+
+
 def test_table_changes(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None)], "k long, s string")
     assert sorted(r["k"] for r in tables.keep_first(df, "s", ["k"]).collect()) == [1, 3]
